@@ -1,10 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import quality
+from . import quality, simhash
 
 
 def queries() -> dict:
-    return {"op3_quality": quality.op3_quality}
+    return {"op3_quality": quality.op3_quality, "op5_simhash": simhash.op5_simhash}
 
 
 def oracle_sql() -> dict:
