@@ -1,11 +1,17 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import quality, simhash
+from . import mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op3_quality": quality.op3_quality, "op5_simhash": simhash.op5_simhash}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op5_simhash": simhash.op5_simhash,
+        "op7_packing": packing.op7_packing,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_sharding": sharding.ORACLE}
