@@ -1,13 +1,15 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import mixing, packing, quality, sharding, simhash
+from . import mixing, packing, pii, quality, sharding, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op3_quality": quality.op3_quality,
+        "op4_suffix": suffix.op4_suffix,
         "op5_simhash": simhash.op5_simhash,
         "op7_packing": packing.op7_packing,
+        "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
