@@ -7,7 +7,7 @@ of ``SHARD_SLOTS``; each shard draws its counts per source from one multinomial
 k-th slot of a source of n blocks takes block perm(k mod n) of epoch k div n, perm being a keyed pseudorandom
 permutation of the indices (a Feistel network, walked along cycles back into the range), so a source gives each
 block once before it gives any again. Slots are joined with the blocks' places by (source, index), and the
-texts only then, by run: a text is moved once, and no block table is written.
+tokens only then, by run: they are moved once, and no block table is written.
 
 Weights default to n ** ``ALPHA`` over the sources' tokens; sources without a weight in ``weights`` get none.
 
@@ -74,7 +74,7 @@ def _runs(rows: DataFrame, block: int, path: str) -> DataFrame:
 
     @F.arrow_udf("bigint")
     def n_tokens(texts: pa.Array) -> pa.Array:
-        return pa.array(tk.encode(texts.to_pylist(), path)[1] + 1)
+        return pa.array(tk.encode(texts, path)[1] + 1)
 
     counted = rows.select("source", "run", n_tokens("text").alias("n"))
     return counted.groupBy("source", "run").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block))
@@ -126,24 +126,45 @@ def _layout(group: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return stream, np.repeat(np.arange(len(texts)), counts + 1), ends, group["id"].to_pylist(), texts, group["lang"].to_pylist()
 
 
+def _encoded(rows: DataFrame, path: str) -> DataFrame:
+    """(source, run, id, ids): each text's tokens as little-endian 16-bit integers."""
+
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        found, counts = tk.encode(texts, path)
+        edge = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 2
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(found.astype("<u2").tobytes())])
+
+    return rows.select("source", "run", "id", ids("text").alias("ids"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
     """The mixture's blocks: (shard, slot, source, block, n_tokens, doc_ids, tokens)."""
 
     def fill(key, group, slots):
         if not len(group) or not len(slots):
             return OUT.empty_table()
-        stream, owner, _, ids, _, _ = _layout(group, path)
+        group = group.sort_by([("id", "ascending"), ("ids", "ascending")])
+        ids, parts = group["id"].to_pylist(), group["ids"].to_pylist()
+        counts = np.array(list(map(len, parts)), np.int64) // 2
+        ends = np.cumsum(counts + 1)
+        stream = np.full(int(ends[-1]), tk.END, np.int32)
+        owner = np.repeat(np.arange(len(ids)), counts + 1)
+        stream[np.arange(counts.sum()) + np.repeat(np.arange(len(ids)), counts)] = np.frombuffer(b"".join(parts), "<u2")
         nth = slots["nth"].to_numpy()
         lo, hi = nth.astype(np.int64) * block, np.minimum((nth.astype(np.int64) + 1) * block, len(stream))
         size = hi - lo
         flat = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(stream[flat]))
-        doc_ids = [[ids[d] for d in range(owner[a], owner[b - 1] + 1)] for a, b in zip(lo, hi)]
+        doc_ids = [ids[owner[a] : owner[b - 1] + 1] for a, b in zip(lo.tolist(), hi.tolist())]
         name = key[0].as_py()
         names = pa.array([None if name == NONE else name] * len(nth), pa.string())
         return pa.table([slots["shard"], slots["slot"], names, slots["block"], pa.array(size.astype(np.int32)), pa.array(doc_ids, pa.list_(pa.int64())), tokens], schema=OUT)
 
-    return _filled(docs, fill, SCHEMA, id_col, text, source, weights, alpha, block, span, shard_slots, seed, path)
+    rows = written(_encoded(_rows(docs, id_col, text, source, span), path), "encoded")
+    counted = rows.groupBy("source", "run").agg(F.sum(F.length("ids") / 2 + 1).cast("bigint").alias("tokens"))
+    slots = plan_slots(counted.withColumn("blocks", F.ceil(F.col("tokens") / block)), weights, alpha, shard_slots, seed)
+    return rows.groupBy("source", "run").cogroup(slots.groupBy("source", "run")).applyInArrow(fill, SCHEMA)
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
@@ -169,14 +190,10 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
         name = key[0].as_py()
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array([None if name == NONE else name] * len(rows[0]), pa.string())], schema=PIECES_OUT)
 
-    return _filled(docs, fill, PIECES, id_col, text, source, weights, alpha, block, span, shard_slots, seed, path)
-
-
-def _filled(docs, fill, schema, id_col, text, source, weights, alpha, block, span, shard_slots, seed, path) -> DataFrame:
     rows = _rows(docs, id_col, text, source, span)
     runs = written(_runs(rows, block, path), "runs")
     slots = plan_slots(runs, weights, alpha, shard_slots, seed)
-    return rows.groupBy("source", "run").cogroup(slots.groupBy("source", "run")).applyInArrow(fill, schema)
+    return rows.groupBy("source", "run").cogroup(slots.groupBy("source", "run")).applyInArrow(fill, PIECES)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 7, packing by order-preserving dynamic programming.
 
-Documents keep the order of their ids. They are tokenised sentence by sentence, each document closed by an end
-token, and cut into windows of at most ``WINDOW`` tokens. A cut lies at the end of a document (free) or of a
-sentence (``CUT_PENALTY``); a sentence longer than a window may also be cut every ``WINDOW // 8`` tokens
+Documents keep the order of their ids. They are tokenised whole, each document closed by an end token,
+and cut into windows of at most ``WINDOW`` tokens. A cut lies at the end of a document (free) or of a
+sentence (after a line end or ``. ! ?`` and white space; ``CUT_PENALTY``); a sentence longer than a window may also be cut every ``WINDOW // 8`` tokens
 (``SPLIT_PENALTY``). The cuts minimise padding plus penalties: with S the running token count,
 f(j) = min over i of f(i) + WINDOW - (S(j) - S(i)) + penalty(j), where S(j) - S(i) <= WINDOW; the minimum of
 f(i) + S(i) over that sliding range is the front of a monotone queue, so that the time is linear. Runs of
@@ -13,7 +13,6 @@ Defined results: null and blank texts give no tokens and appear in no window; an
 Rows of one id follow each other by text, repeated rows are each packed. Null ids form one run, at the end.
 """
 
-import re
 from collections import deque
 
 import numpy as np
@@ -21,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbuf as tb
 from . import tokens as tk
 
 WINDOW, SPAN = 2048, 1000
 CUT_PENALTY, SPLIT_PENALTY = 64, 512
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\s*|[.!?\s]+")
+_SPACE, _FINAL = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FINAL[[10, ord("."), ord("!"), ord("?")]] = True
 SCHEMA = "run bigint, window int, doc_ids array<bigint>, n_tokens int, padding int, cut string, tokens array<int>"
 OUT = pa.schema([("run", pa.int64()), ("window", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("padding", pa.int32()), ("cut", pa.string()), ("tokens", pa.list_(pa.int32()))])
 KINDS = np.array(["document", "sentence", "split"])
@@ -57,25 +59,43 @@ def best_cuts(sizes: list[int], penalties: list[int], window: int) -> tuple[list
     return cuts[::-1], cost[n]
 
 
+def units(texts: list[str], data: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, ...]:
+    """(tokens with the end tokens, end of each document, size of each sentence, whether it closes its document, its document)."""
+    ids, counts = tk.encode(texts, path)
+    size = tk.sizes(path)[ids]
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(size)])
+    byte_end = total[1:] + np.repeat(offs[:-1] - total[edge[:-1]] - 1, counts)
+    for d in np.flatnonzero(total[edge[1:]] - total[edge[:-1]] - 1 != np.diff(offs)).tolist():
+        byte_end[edge[d] : edge[d + 1]] = offs[d] + tk.token_ends(ids[edge[d] : edge[d + 1]], data[offs[d] : offs[d + 1]].tobytes(), path)
+    space, final = _SPACE[data], _FINAL[data]
+    soft = space | final
+    turn = np.flatnonzero(np.diff(soft.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    begin, end = turn[::2], turn[1::2]
+    spaces, finals = np.concatenate([[0], np.cumsum(space)]), np.concatenate([[0], np.cumsum(final)])
+    end = end[(spaces[end] > spaces[begin]) & (finals[end] > finals[begin])]
+    end = end - (data[end - 1] == 32)  # a space is the first byte of the word after it
+    cuts = np.unique(np.concatenate([np.searchsorted(byte_end, end, "right"), edge[1:]]))
+    cuts = cuts[cuts > 0]
+    own = np.searchsorted(edge, cuts, "left") - 1
+    last = cuts == edge[own + 1]
+    ends = edge[1:] + np.arange(1, len(edge))
+    stream = np.full(int(ends[-1]), tk.END, np.int32)
+    stream[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return stream, ends, np.diff(cuts, prepend=0) + last, last, own
+
+
 def pack_run(ids: list, texts: list, window: int = WINDOW, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> dict:
     """The windows of one run of documents that are in order."""
-    sentences, owner, closes = [], [], []
-    for k, text in enumerate(texts):
-        if text and not text.isspace():
-            parts = SENTENCE.findall(text)
-            sentences += parts
-            owner += [k] * len(parts)
-            closes += [False] * (len(parts) - 1) + [True]
-    if not sentences:
+    kept = [k for k, text in enumerate(texts) if text and not text.isspace()]
+    if not kept:
         return {name: [] for name in OUT.names if name != "run"}
-    tokens, counts = tk.encode(sentences, path)
-    closing = np.array(closes)
-    ends = np.cumsum(counts + closing)
-    stream = np.full(int(ends[-1]), tk.END, np.int32)
-    own = np.ones(len(stream), bool)
-    own[ends[closing] - 1] = False
-    stream[own] = tokens
-    sizes = counts + closing
+    stream, sizes, closing, owner = [], [], [], []
+    for row, data, offs in tb.slices(pa.array([texts[k] for k in kept], pa.large_string()), 1 << 22):
+        part = kept[row : row + len(offs) - 1]
+        tokens, ends, size, last, own = units([texts[k] for k in part], data, offs, path)
+        stream.append(tokens), sizes.append(size), closing.append(last), owner.append(np.array(part)[own])
+    stream, sizes, closing, owner = (np.concatenate(x) for x in (stream, sizes, closing, owner))
     step = max(1, window // 8)
     pieces = np.where(sizes > window, -(-sizes // step), 1)
     if (pieces > 1).any():
@@ -89,7 +109,7 @@ def pack_run(ids: list, texts: list, window: int = WINDOW, cut: int = CUT_PENALT
     used = sizes > 0
     sizes, kind, which = sizes[used], kind[used], which[used]
     cuts, _ = best_cuts(sizes.tolist(), np.array([0, cut, split])[kind].tolist(), window)
-    docs, total = np.array(owner)[which], np.concatenate([[0], np.cumsum(sizes)])
+    docs, total = owner[which], np.concatenate([[0], np.cumsum(sizes)])
     rows = {name: [] for name in OUT.names if name != "run"}
     at = 0
     for k, to in enumerate(cuts):
