@@ -104,13 +104,13 @@ def plan_slots(runs: DataFrame, weights: dict | None = None, alpha: float = ALPH
     drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s int, count bigint, offset bigint")
     start = F.sum("count").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     known = spark.createDataFrame([(k, s, int(n)) for k, (s, n) in enumerate(zip(names, sizes))], "s int, source string, n bigint")
-    taken = drawn.withColumn("start", F.coalesce(start, F.lit(0))).join(known, "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
+    taken = drawn.withColumn("start", F.coalesce(start, F.lit(0))).join(F.broadcast(known), "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
     k = F.col("start") + F.col("j")
     here = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
     picked = taken.select("source", "shard", _perm(k % F.col("n"), F.col("n"), F.xxhash64(F.lit(seed), "source", F.floor(k / F.col("n")))).alias("block"), _perm(F.col("offset") + F.col("j"), here, F.xxhash64(F.lit(seed), "shard")).cast("int").alias("slot"))
     first = F.coalesce(F.sum("blocks").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = runs.withColumn("first", first).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("source", "run", F.col("nth").cast("int").alias("nth"), (F.col("first") + F.col("nth")).alias("block"))
-    return places.join(picked, ["source", "block"])
+    return places.join(picked.hint("merge"), ["source", "block"]).select("source", "run", "nth", "block", "shard", "slot")  # both grow with the corpus
 
 
 def _layout(group: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list, list]:
@@ -164,7 +164,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = written(_encoded(_rows(docs, id_col, text, source, span), path), "encoded")
     counted = rows.groupBy("source", "run").agg(F.sum(F.length("ids") / 2 + 1).cast("bigint").alias("tokens"))
     slots = plan_slots(counted.withColumn("blocks", F.ceil(F.col("tokens") / block)), weights, alpha, shard_slots, seed)
-    return rows.groupBy("source", "run").cogroup(slots.groupBy("source", "run")).applyInArrow(fill, SCHEMA)
+    slots = slots.toDF("src", "at_run", *slots.columns[2:])
+    return rows.groupBy("source", "run").cogroup(slots.groupBy("src", "at_run")).applyInArrow(fill, SCHEMA)
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
@@ -193,7 +194,8 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     rows = _rows(docs, id_col, text, source, span)
     runs = written(_runs(rows, block, path), "runs")
     slots = plan_slots(runs, weights, alpha, shard_slots, seed)
-    return rows.groupBy("source", "run").cogroup(slots.groupBy("source", "run")).applyInArrow(fill, PIECES)
+    slots = slots.toDF("src", "at_run", *slots.columns[2:])
+    return rows.groupBy("source", "run").cogroup(slots.groupBy("src", "at_run")).applyInArrow(fill, PIECES)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
