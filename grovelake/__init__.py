@@ -1 +1 @@
-"""Versioned analytics on Spark: snapshots, diff and merge, search, chunk trees and SQL over commits."""
+"""Versioned analytics on Spark."""
