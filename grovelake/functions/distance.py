@@ -20,8 +20,8 @@ def inner_product(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """1 - cos, 1 where a norm is 0."""
     norm = _sum(a, a, lambda x, y: x * y) * _sum(b, b, lambda x, y: x * y)
-    cos = _sum(a, b, lambda x, y: x * y) / F.sqrt(F.nullif(norm, F.lit(0.0)))
-    return F.when(F.size(a) == F.size(b), F.coalesce(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)), F.lit(1.0)))
+    cos = _sum(a, b, lambda x, y: x * y) / F.sqrt(norm)
+    return F.when(norm > 0, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).otherwise(F.when(F.size(a) == F.size(b), F.lit(1.0)))
 
 
 METRICS = {"l2": l2, "cosine": cosine, "inner_product": inner_product}

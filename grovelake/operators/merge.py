@@ -57,8 +57,7 @@ def merged_json(source, dest):
     return source
 
 
-@F.arrow_udf("string")
-def _merge_json(source: pa.Array, dest: pa.Array) -> pa.Array:
+def _merge_texts(source: pa.Array, dest: pa.Array) -> pa.Array:
     out = []
     for s, d in zip(source.to_pylist(), dest.to_pylist()):
         try:
@@ -70,8 +69,12 @@ def _merge_json(source: pa.Array, dest: pa.Array) -> pa.Array:
 
 def semantic() -> Column:
     """Deep merge of JSON texts; the source where one is no JSON or only one side is there."""
+    @F.arrow_udf("string")
+    def joined(source: pa.Array, dest: pa.Array) -> pa.Array:
+        return _merge_texts(source, dest)
+
     both = F.col("in_source") & F.col("in_dest")
-    value = F.when(both, _merge_json(F.col("source").cast("string"), F.col("dest").cast("string"))).when(F.col("in_source"), F.col("source").cast("string")).otherwise(F.col("dest").cast("string"))
+    value = F.when(both, joined(F.col("source").cast("string"), F.col("dest").cast("string"))).when(F.col("in_source"), F.col("source").cast("string")).otherwise(F.col("dest").cast("string"))
     return _outcome(F.lit(True), F.col("in_source") | F.col("in_dest"), value)
 
 
