@@ -1,0 +1,177 @@
+"""Operators over small tables that hold nulls, blanks, repeats, long texts and clashing columns."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from grovelake.llm import components, embeddings, htmltext, langid, mixing, packing, pii, quality, sharding, simhash, suffix
+
+KIND = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, id STRING, host STRING, node STRING, group_id INT, keep INT, th INT, run INT, shard INT, lang_pred INT, quality_p INT, pii_text INT"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    base = " ".join(word() for _ in range(120))
+    near = base.split()
+    near[50] = "changed"
+    rows = [(k, " ".join(word() for _ in range(rng.randint(30, 90))) + f" mail a{k}@mail1.example.com", "en", f"s{k % 3}") for k in range(20)]
+    rows += [(100, base, "en", "s0"), (101, base, "en", None), (102, " ".join(near), None, "s1"), (102, " ".join(near), None, "s1"), (103, None, None, None), (None, None, "fr", "s1"), (104, "", "fr", "s1"), (105, " \n ", "fr", "s2"), (None, "only words without an id here", "fr", "s2"), (106, "x", "de", "s0"), (107, "lang " * 40_000, "de", "s0")]
+    extra = ("a", "b", "c", 1, 2, 3, 4, 5, 6, 7, 8)
+    return spark.createDataFrame([(i, t, lang, s, t and len(t), *extra) for i, t, lang, s in rows], KIND).cache()
+
+
+def test_simhash(docs):
+    rows = {(r.id, r.th): r for r in simhash.near_groups(docs).collect()}
+    by_id = {r.id: r for r in rows.values()}
+    assert by_id[101].group_id == 100 and by_id[102].group_id == 100 and by_id[1].group_id == 1
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(100) == 1 and 101 not in ids and 102 not in ids and {103, 104, 105, 106, 107} <= set(ids) and ids.count(None) == 2
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_simhash_recall(spark):
+    rng = random.Random(3)
+    rows, pairs = [], 60
+    for k in range(pairs):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+        rows.append((2 * k, " ".join(words)))
+        for _ in range(4):
+            words[rng.randrange(200)] = "edit"
+        rows.append((2 * k + 1, " ".join(words)))
+    found = {r.id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.9 * pairs
+    assert all(found[2 * k] == 2 * k for k in range(pairs))
+
+
+def test_suffix(docs, spark):
+    got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_spans(docs).select("doc_id", "start_word", "end_word").collect()}
+    assert got == {(100, 0, 120), (101, 0, 120), (102, 51, 120), (102, 0, 50)} and not any(x[0] == 107 for x in got)
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for k in range(30)]
+    windows: dict = {}
+    for k, t in rows:
+        w = t.split()
+        for o in range(len(w) - 7):
+            windows.setdefault(tuple(w[o : o + 8]), set()).add(k)
+    want = {(k, i) for k, t in rows for o in range(len(t.split()) - 7) if len(windows[tuple(t.split()[o : o + 8])]) > 1 for i in range(o, o + 8)}
+    spans = suffix.repeated_spans(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), length=8, gram=3).collect()
+    assert {(r.doc_id, i) for r in spans for i in range(r.start_word, r.end_word)} == want
+    assert suffix.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    x = np.random.default_rng(1).normal(size=(300, 16))
+    x[150:] = x[:150] + 0.05 * np.random.default_rng(2).normal(size=(150, 16))
+    rows = [(k, v.tolist(), 0, "n") for k, v in enumerate(x)]
+    rows += [(400, x[0].tolist(), 0, "n"), (401, None, 0, "n"), (402, [], 0, "n"), (403, [0.0] * 16, 0, "n"), (404, [float("nan")] * 16, 0, "n"), (None, x[1].tolist(), 0, "n"), (405, [1.0], 0, "n"), (405, [1.0], 0, "n")]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, group_id INT, node STRING")
+    out = embeddings.near_groups(df).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = [k for k in range(150) if u[k] @ u[150 + k] >= 0.95]
+    group = {r.id: r.group_id for r in out if r.id is not None}
+    assert len(out) == len(rows) and np.mean([group[150 + k] == group[k] for k in true]) >= 0.9
+    assert group[400] == group[0] and all(group[k] == k for k in (401, 402, 403, 404)) and sum(r.keep for r in out if r.id == 405) == 1
+    assert embeddings.near_groups(df.limit(0)).count() == 0
+
+
+def test_html(spark):
+    nav = "<nav><a>Home page</a><a>All the news</a></nav>"
+    rows = [(k, f"http://www.a.org/{k}", f"<body>{nav}<p>own text of page {k}</p></body>", 1) for k in range(8)]
+    rows += [(k, "http://b.org/", f"<body>{nav}<p>own text of page {k}</p></body>", 1) for k in (20, 21)]
+    rows += [(k, "http://c.org/x", f"<body>{nav}<p>one page</p></body>", 1) for k in range(30, 40)]
+    rows += [(50, None, "<p>no host", 1), (51, "http://a.org", None, 1), (None, None, "", 1)]
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, removed INT")
+    for limit in (1 << 20, -1):  # by broadcast, by join
+        got = {r.page_id: r for r in htmltext.extract(df, broadcast_bytes=limit).collect()}
+        assert [got[k].main_text for k in range(8)] == [f"own text of page {k}" for k in range(8)] and got[0].removed == 1
+        assert "Home page" in got[20].main_text and "Home page" in got[30].main_text  # few pages; copies of one page
+        assert got[50].main_text == "no host" and got[51].main_text is None and got[None].main_text == ""
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_language(docs):
+    out = langid.identify(docs, langid.train(docs))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.count() == docs.count() and rows[103].lang_pred is None and rows[105].lang_pred is None and rows[107].lang_pred == "de"
+    assert langid.train(docs.where("lang IS NULL")) is None and langid.identify(docs, None).where("lang_pred IS NOT NULL").count() == 0
+    assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
+
+
+def test_quality(docs, spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)] + [(None, 1, 0), (1, None, 0)], "doc_id BIGINT, quality INT, toxic INT")
+    out = quality.score_quality(docs, quality.train(docs, labels))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.count() == docs.count() and rows[103].quality_decision == "reject" and rows[105].quality_p is None and rows[107].quality_p is not None
+    assert quality.train(docs, labels.limit(0)) is None
+    assert {r.quality_decision for r in quality.score_quality(docs, None).where("doc_id = 1").collect()} == {"keep"}
+
+
+def test_personal_data(docs):
+    out = pii.redact(docs)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.count() == docs.count() and all("example" not in rows[k].pii_text for k in range(20)) and rows[103].pii_text is None and rows[100].pii_entities == []
+    assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_packing(docs):
+    out = packing.pack(docs, window=512)
+    ids = {i for r in out.collect() for i in r.doc_ids}
+    assert ids == {*range(20), 100, 101, 102, 106, 107, None}
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_mixing(docs):
+    out = mixing.mix(docs, block=128, shard_slots=32, weights={"s0": 0.5, "s1": 0.25, "s2": 0.25}).collect()
+    n = len(out)
+    assert len({(r.shard, r.slot) for r in out}) == n and {r.source for r in out} == {"s0", "s1", "s2"}
+    share = sum(r.source == "s0" for r in out) / n
+    assert abs(share - 0.5) < 5 * (0.25 / n) ** 0.5
+    assert mixing.mix(docs.limit(0)).count() == 0
+    pieces = mixing.mix_texts(docs, block=128)
+    assert pieces.columns == ["doc_id", "text", "lang", "source"] and pieces.count() > 0
+
+
+def test_sharding(docs, spark):
+    keys = spark.range(20_000)
+    r = keys.select(sharding.rendezvous(F.col("id"), [1.0, 1.0, 2.0]).alias("a"), sharding.rendezvous(F.col("id"), [1.0, 1.0, 2.0, 1.0]).alias("b"))
+    moved = r.where("a <> b")
+    assert moved.where("b <> 3").count() == 0 and abs(moved.count() / 20_000 - 0.2) < 0.02
+    assert abs(r.where("a = 2").count() / 20_000 - 0.5) < 0.02
+    out = sharding.assign_shards(docs, "doc_id", [1.0, 1.0])
+    assert out.where("shard IS NULL").count() == 0 and out.columns == docs.columns
+    assert sharding.assign_shards(docs, "doc_id", [0.0]).where("shard IS NOT NULL").count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + k, 1001 + k) for k in range(100)] + [(7, 7), (None, 3)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()}
+    assert got == {x: find(x) for x in list(root)}
+
+
+def test_pipeline(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    wanted = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs.select(wanted).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)] + [(106, 0, 0), (107, 0, 0)], "doc_id BIGINT, quality INT, toxic INT")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {i for r in rows for i in r.doc_ids}
+    assert ids and not ids & {101, 102, 103, 104, 105}
+    now = docs.select(wanted)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == wanted
