@@ -21,7 +21,7 @@ def docs(spark):
     rows = [(k, " ".join(word() for _ in range(rng.randint(30, 90))) + f" mail a{k}@mail1.example.com", "en", f"s{k % 3}") for k in range(20)]
     rows += [(100, base, "en", "s0"), (101, base, "en", None), (102, " ".join(near), None, "s1"), (102, " ".join(near), None, "s1"), (103, None, None, None), (None, None, "fr", "s1"), (104, "", "fr", "s1"), (105, " \n ", "fr", "s2"), (None, "only words without an id here", "fr", "s2"), (106, "x", "de", "s0"), (107, "lang " * 40_000, "de", "s0")]
     extra = ("a", "b", "c", 1, 2, 3, 4, 5, 6, 7, 8)
-    return spark.createDataFrame([(i, t, lang, s, t and len(t), *extra) for i, t, lang, s in rows], KIND).cache()
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), *extra) for i, t, lang, s in rows], KIND).cache()
 
 
 def test_simhash(docs):
