@@ -385,7 +385,7 @@ class Store:
         rows = rows.select([F.col(f.name).cast(f.dataType) for f in old.schema.fields])
         return self.put_table(name, (old.join(rows.select(pk), pk, "left_anti").select(*old.columns) if pk else old).unionByName(rows))
 
-    def update_rows(self, name: str, where: str, **values: str) -> str:
+    def update_rows(self, name: str, where: str, /, **values: str) -> str:
         """SET column = expression WHERE a condition."""
         old = self.table(name)
         hit = F.coalesce(F.expr(where), F.lit(False))
