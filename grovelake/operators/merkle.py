@@ -63,7 +63,7 @@ def _chunks(entries: DataFrame, config: TreeConfig, least: int, rows_a_range: in
     lists = held.groupBy("end").agg(F.array_sort(F.collect_list(F.struct("key", "digest"))).alias("all"))
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / config.max_chunk).cast("int")), lambda k: F.slice("all", k * config.max_chunk + 1, F.lit(config.max_chunk)))
     parts = lists.select(F.explode(slices).alias("part"))
-    joined = F.aggregate("part", F.lit(bytearray()), lambda acc, x: F.concat(acc, x["digest"]))
+    joined = F.unhex(F.array_join(F.transform("part", lambda x: F.hex(x["digest"])), ""))
     return parts.select(F.col("part")[0]["key"].alias("first_key"), F.size("part").alias("n"), F.unhex(F.sha2(joined, 256)).alias("hash"), F.col("part.key").alias("members")), n
 
 
