@@ -1,17 +1,20 @@
 """Operator 5, SimHash near-dedup by bit sampling.
 
 A text's 128-bit SimHash is the sign of the sum of +-1 over its word pairs' hashed bits (a text of one word
-uses that word). Fingerprints that are equal are one node. Each of ``TABLES`` tables orders the 128 bits by its
-own random permutation; nodes that share the first ``BASE_BITS`` are a bucket. A bucket of more than ``CAP``
-nodes is split by additional bits of the same permutation until its parts hold no more, so that the work grows
-with the number of nodes and not with its square. Every pair within a bucket is verified: it counts when the
-distance of all 128 bits is at most ``MAX_DISTANCE``. Verified pairs are joined to groups; the document of the
-smallest id stays.
+uses that word). Fingerprints that are equal are one node. Each table picks bits at random; nodes that agree in
+them are a bucket. The number of bits follows from the number of nodes, so that a bucket holds about ``BUCKET``
+unrelated ones, and the number of tables from the bits, so that a pair at ``MAX_DISTANCE`` meets in at least one
+with probability ``RECALL`` at every size. Every pair within a bucket is verified: it counts when the distance of
+all 128 bits is at most ``MAX_DISTANCE``. No bucket is split; one of more than ``CAP`` nodes is compared block by
+block and hands on the links that span its groups, which connect the same nodes as all its pairs. Links are
+joined to groups; the document of the smallest id stays.
 
 Defined results: null and blank texts have no fingerprint, are never copies and all stay. Rows that repeat an
 id and its text are copies of each other: one stays. Null ids sort last. Unused columns pass through.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,13 +25,19 @@ from . import textbuf as tb
 from .components import components
 from .store import written
 
-TABLES, BASE_BITS, CAP, MAX_DISTANCE = 32, 16, 128, 26
-STEPS = (16, 20, 24, 28, 32, 36, 40, 48, 56, 64, 80, 96, 112, 128)
+BASE_BITS, CAP, MAX_DISTANCE, BUCKET, RECALL = 16, 128, 26, 256, 0.95
 U64 = np.uint64
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 ROW = pa.schema([("t", pa.int16()), ("base", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("node", pa.int64())])
 
 
+def plan(n: int, max_distance: int = MAX_DISTANCE, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a table, tables) for n nodes."""
+    bits = min(31, max(0, math.ceil(math.log2(max(n, 1) / BUCKET))), 127 - max_distance)
+    meet = math.prod((128 - max_distance - i) / (128 - i) for i in range(bits))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) unsigned halves, and whether a text has words."""
     out, some = np.zeros((len(texts), 2), U64), np.zeros(len(texts), bool)
@@ -66,29 +75,42 @@ def permuted(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(U64)
 
 
-def bucket_pairs(table: np.ndarray, k1: np.ndarray, k2: np.ndarray, cap: int, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of verified pairs among rows sorted by (table, k1, k2), buckets as the module says."""
+def linked(k1: np.ndarray, k2: np.ndarray, max_distance: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows of one bucket that connect what all its pairs of at most ``max_distance`` connect."""
+    n = len(k1)
+    label = np.arange(n)
+    for a in range(0, n, block):
+        for b in range(a, n, block):
+            distance = np.bitwise_count(k1[a : a + block, None] ^ k1[b : b + block]) + np.bitwise_count(k2[a : a + block, None] ^ k2[b : b + block])
+            i, j = np.nonzero(distance <= max_distance)
+            i, j = label[i + a], label[j + b]
+            while len(i):
+                i, j = label[i], label[j]
+                apart = i != j
+                i, j = i[apart], j[apart]
+                np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+                while (label != label[label]).any():
+                    label = label[label]
+    at = np.flatnonzero(label != np.arange(n))
+    return label[at], at
+
+
+def bucket_pairs(table: np.ndarray, k1: np.ndarray, k2: np.ndarray, cap: int, max_distance: int, bits: int = BASE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of verified pairs among rows sorted by table and the first ``bits``; links of buckets above ``cap``."""
     n = len(k1)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     moved = table[1:] != table[:-1]
-    x1, x2 = k1[1:] ^ k1[:-1], k2[1:] ^ k2[:-1]
-    end, unsplit = np.zeros(n, np.int64), np.ones(n, bool)
-    at = np.arange(n)
-    for bits in STEPS:
-        differs = (x1 >> U64(64 - min(bits, 64))) != 0
-        if bits > 64:
-            differs |= (x2 >> U64(128 - bits)) != 0
-        edge = np.append(np.flatnonzero(moved | differs) + 1, n)
-        size = np.diff(edge, prepend=0)
-        ends = np.repeat(edge, size)
-        small = unsplit & (np.repeat(size, size) <= cap)
-        end[small] = ends[small]
-        unsplit &= ~small
-        if not unsplit.any():
-            break
-    end[unsplit] = at[unsplit] + 1
-    left, right = [], []
+    if bits:
+        moved = moved | ((k1[1:] ^ k1[:-1]) >> U64(64 - bits) != 0)
+    edge = np.append(np.flatnonzero(moved) + 1, n)
+    size = np.diff(edge, prepend=0)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for hi, m in zip(edge[size > cap].tolist(), size[size > cap].tolist()):
+        i, j = linked(k1[hi - m : hi], k2[hi - m : hi], max_distance)
+        left.append(i + hi - m)
+        right.append(j + hi - m)
+    end, at = np.repeat(edge, size), np.flatnonzero(np.repeat(size, size) <= cap)
     for gap in range(1, cap):
         at = at[at + gap < end[at]]
         if not len(at):
@@ -96,8 +118,6 @@ def bucket_pairs(table: np.ndarray, k1: np.ndarray, k2: np.ndarray, cap: int, ma
         close = np.bitwise_count(k1[at] ^ k1[at + gap]).astype(np.int16) + np.bitwise_count(k2[at] ^ k2[at + gap]) <= max_distance
         left.append(at[close])
         right.append(at[close] + gap)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -114,18 +134,20 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return rows.select("id", "th", "f.h1", "f.h2")
 
 
-def near_pairs(nodes: DataFrame, tables: int = TABLES, cap: int = CAP, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b), a < b: verified pairs of ``nodes`` (node, h1, h2), whose fingerprints differ; pairs repeat."""
+def near_pairs(nodes: DataFrame, tables: int | None = None, cap: int = CAP, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b), a < b: links of ``nodes`` (node, h1, h2), whose fingerprints differ; links repeat. ``tables`` as ``plan`` says unless given."""
+    bits, planned = plan(nodes.count(), max_distance)
+    tables = tables or planned
     orders = [np.random.default_rng(7000 + t).permutation(128) for t in range(tables)]
 
     def spread(batches):
         for batch in batches:
             halves = np.stack([np.asarray(batch.column(k)).view(U64) for k in (1, 2)], 1)
-            bits = np.unpackbits(np.ascontiguousarray(halves).view(np.uint8).reshape(-1, 16), axis=1)
+            each = np.unpackbits(np.ascontiguousarray(halves).view(np.uint8).reshape(-1, 16), axis=1)
             for t, order in enumerate(orders):
-                key = permuted(bits, order)
+                key = permuted(each, order)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), t, np.int16)), pa.array((key[:, 0] >> U64(64 - BASE_BITS)).astype(np.int32)), pa.array(key[:, 0].astype(np.int64)), pa.array(key[:, 1].astype(np.int64)), batch.column(0)], schema=ROW
+                    [pa.array(np.full(len(key), t, np.int16)), pa.array((key[:, 0] >> U64(33)).astype(np.int32) >> (31 - bits)), pa.array(key[:, 0].astype(np.int64)), pa.array(key[:, 1].astype(np.int64)), batch.column(0)], schema=ROW
                 )
 
     def verify(batches):
@@ -144,24 +166,23 @@ def near_pairs(nodes: DataFrame, tables: int = TABLES, cap: int = CAP, max_dista
 
     def edges(rows):
         table, k1, k2, node = np.asarray(rows["t"]), np.asarray(rows["k1"]).view(U64), np.asarray(rows["k2"]).view(U64), np.asarray(rows["node"])
-        i, j = bucket_pairs(table, k1, k2, cap, max_distance)
+        i, j = bucket_pairs(table, k1, k2, cap, max_distance, bits)
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         for at in range(0, len(pair), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 100_000, 0]), pa.array(pair[at : at + 100_000, 1])], schema=EDGE)
 
     rows = nodes.select("node", "h1", "h2").mapInArrow(spread, "t smallint, base int, k1 bigint, k2 bigint, node bigint")
-    # unsigned order within a bucket: the sign bit is among the base bits, which are equal there
-    placed = rows.repartition(F.col("t"), F.col("base")).sortWithinPartitions("t", "base", F.col("k1"), F.expr("shiftrightunsigned(k2, 1)"), F.expr("k2 & 1"))
+    placed = rows.repartition(F.col("t"), F.col("base")).sortWithinPartitions("t", "base")
     return placed.mapInArrow(verify, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tables: int = TABLES, cap: int = CAP, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tables: int | None = None, cap: int = CAP, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(id, th, group_id, keep) of each row of ``docs``; group_id is the smallest id of the group."""
     marks = written(fingerprint_table(docs, id_col, text), "fingerprints")
     node = F.xxhash64("h1", "h2")
     known = marks.where("h1 IS NOT NULL").select("id", "th", node.alias("node"), "h1", "h2")
-    nodes = known.select("node", "h1", "h2").distinct()
+    nodes = written(known.select("node", "h1", "h2").distinct(), "nodes")
     roots = components(near_pairs(nodes, tables, cap, max_distance).distinct())
     grouped = known.select("id", "th", "node").join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root"))
     ordered = W.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "th")

@@ -49,6 +49,18 @@ def test_simhash_recall(spark):
     assert all(found[2 * k] == 2 * k for k in range(pairs))
 
 
+def test_simhash_recall_up_to_the_distance(spark):
+    rng = np.random.default_rng(6)
+    near = rng.integers(0, 2, (3000, 128))
+    far = near.copy()
+    for row in far:
+        row[rng.choice(128, rng.integers(20, 27), replace=False)] ^= 1
+    both = np.packbits(np.concatenate([near, far]), axis=1).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(both)], "node BIGINT, h1 BIGINT, h2 BIGINT")
+    found = {(r.a, r.b) for r in simhash.near_pairs(nodes).distinct().collect()}
+    assert sum((k, 3000 + k) in found for k in range(3000)) >= 0.9 * 3000 and len(found) <= 3000
+
+
 def test_suffix(docs, spark):
     got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_spans(docs).select("doc_id", "start_word", "end_word").collect()}
     assert got == {(100, 0, 120), (101, 0, 120), (102, 51, 120), (102, 0, 50)} and not any(x[0] == 107 for x in got)

@@ -71,6 +71,34 @@ def test_bucket_pairs_match_brute_force(seed):
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_crowded_buckets_link_what_brute_force_links():
+    rng = np.random.default_rng(8)
+    k = rng.integers(0, 1 << 63, (600, 2)).astype(np.uint64)
+    for row in range(300, 600):  # copies of others with 26 bits changed, anywhere but in the bucket's own 16
+        flips = rng.choice(112, 26, replace=False)
+        k[row] = k[row - 300] ^ np.array([sum(1 << int(x) for x in flips if x < 48), sum(1 << int(x - 48) for x in flips if x >= 48)], np.uint64)
+    k[:, 0] &= np.uint64((1 << 48) - 1)
+    k = k[np.lexsort((k[:, 1], k[:, 0]))]
+
+    def roots(pairs):
+        root = list(range(600))
+        for a, b in pairs:
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if r == hi else r for r in root]
+        return root
+
+    want = [(a, b) for a, b in itertools.combinations(range(600), 2) if int(np.bitwise_count(k[a] ^ k[b]).sum()) <= 26]
+    i, j = simhash.bucket_pairs(np.zeros(600, np.int16), k[:, 0], k[:, 1], 128, 26)
+    assert len(want) >= 300 and roots(zip(i.tolist(), j.tolist())) == roots(want)
+
+
+def test_simhash_tables_follow_from_the_nodes():
+    for n in (1, 300, 10_000, 1_000_000, 100_000_000):
+        bits, tables = simhash.plan(n)
+        meet = np.prod([(102 - i) / (128 - i) for i in range(bits)])
+        assert 1 - (1 - meet) ** tables >= 0.9 and n / 2**bits <= 256
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repeated_windows_match_brute_force(seed):
     rng = np.random.default_rng(seed)
