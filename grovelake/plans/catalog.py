@@ -415,12 +415,30 @@ def knn_inner_product(spark, sf):
     return vector.exact_knn(_first_vector(spark, sf), _vectors(spark, sf), 10, "inner_product").select("id", "rank")
 
 
+def _every_vector(spark, sf):
+    return _vectors(spark, sf).select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+
+
+@query()
+def knn_batch_l2(spark, sf):
+    """The ten nearest of every vector."""
+    return vector.exact_knn(_every_vector(spark, sf), _vectors(spark, sf), 10, "l2").select("qid", "id", "rank")
+
+
+@query()
+def knn_batch_cosine(spark, sf):
+    return vector.exact_knn(_every_vector(spark, sf), _vectors(spark, sf), 10, "cosine").select("qid", "id", "rank")
+
+
+@query()
+def knn_batch_inner_product(spark, sf):
+    return vector.exact_knn(_every_vector(spark, sf), _vectors(spark, sf), 10, "inner_product").select("qid", "id", "rank")
+
+
 @query()
 def knn_level_tree(spark, sf):
-    """The ten nearest of every vector of label 0, over the level tree."""
-    v = _vectors(spark, sf)
-    asked = read(spark, sf, "embeddings").where("label = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    return vector.ann_knn(asked, vector.build_tree(v), 10).select("qid", "id", "rank")
+    """The ten nearest of every vector, over the level tree."""
+    return vector.ann_knn(_every_vector(spark, sf), vector.build_tree(_vectors(spark, sf)), 10).select("qid", "id", "rank")
 
 
 @query("SELECT label, count(*) AS n, min(len(embedding)) AS dim FROM embeddings GROUP BY label")
