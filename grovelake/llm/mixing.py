@@ -1,13 +1,13 @@
 """Operator 9, mixing sources to target weights.
 
-Each source's documents are tokenised, closed by an end token and laid out in the order of their ids within
-runs of ``SPAN`` ids, each run cut into blocks of ``BLOCK`` tokens (the last of a run is shorter: nothing is
-dropped). Blocks are numbered through per source. The mixture has as many slots as there are blocks, in shards
+Each source's documents are tokenised, closed by an end token and laid out in the order of their ids as one
+stream, cut into blocks of ``BLOCK`` tokens (only a source's last one is shorter: nothing is dropped). A stream is
+held in runs of ``SPAN`` ids; running sums of their tokens say which parts of which runs make a block. The mixture has as many slots as there are blocks, in shards
 of ``SHARD_SLOTS``; each shard draws its counts per source from one multinomial with the target weights. The
 k-th slot of a source of n blocks takes block perm(k mod n) of epoch k div n, perm being a keyed pseudorandom
 permutation of the indices (a Feistel network, walked along cycles back into the range), so a source gives each
 block once before it gives any again. Slots are joined with the blocks' places by (source, index), and the
-tokens only then, by run: they are moved once, and no block table is written.
+tokens only then, by run; blocks that lie in several runs are put together from their parts.
 
 Weights default to n ** ``ALPHA`` over the sources' tokens; sources without a weight in ``weights`` get none.
 
@@ -65,25 +65,25 @@ def _perm(k, n, key):
 
 def _rows(docs: DataFrame, id_col: str, text: str, source: str, span: int) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.floor(F.col(id_col) / span).cast("bigint"), F.lit(-(2**62))).alias("run"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), lang.alias("lang"))
+    rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.floor(F.col(id_col) / span).cast("bigint"), F.lit(2**62)).alias("run"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), lang.alias("lang"))
     return rows.where(r"text RLIKE '[^\\s]'")
 
 
-def _runs(rows: DataFrame, block: int, path: str) -> DataFrame:
-    """(source, run, tokens, blocks) by counting the tokens of each text."""
+def _runs(rows: DataFrame, path: str) -> DataFrame:
+    """(source, run, tokens) by counting the tokens of each text."""
 
     @F.arrow_udf("bigint")
     def n_tokens(texts: pa.Array) -> pa.Array:
         return pa.array(tk.encode(texts, path)[1] + 1)
 
     counted = rows.select("source", "run", n_tokens("text").alias("n"))
-    return counted.groupBy("source", "run").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block))
+    return counted.groupBy("source", "run").agg(F.sum("n").alias("tokens"))
 
 
-def plan_slots(runs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(source, run, nth, block, shard, slot): which block of which run each slot of each shard takes."""
+def plan_slots(runs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, shard_slots: int = SHARD_SLOTS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(source, run, lo, hi, skip, whole, block, shard, slot): the tokens lo to hi of a run that a slot takes, after ``skip`` others; whole: no other run has a part in it."""
     spark = runs.sparkSession
-    per = sorted((r.source, r.tokens, r.blocks) for r in runs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("blocks").alias("blocks")).collect())
+    per = sorted((r.source, r.tokens, -(-r.tokens // block)) for r in runs.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect())
     names, sizes = [p[0] for p in per], [p[2] for p in per]
     raw = np.array([max(0.0, float((weights or {}).get("" if s == NONE else s, 0))) if weights is not None else float(t) ** alpha for s, t, _ in per])
     slots = int(sum(sizes)) if raw.sum() > 0 else 0
@@ -108,9 +108,13 @@ def plan_slots(runs: DataFrame, weights: dict | None = None, alpha: float = ALPH
     k = F.col("start") + F.col("j")
     here = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
     picked = taken.select("source", "shard", _perm(k % F.col("n"), F.col("n"), F.xxhash64(F.lit(seed), "source", F.floor(k / F.col("n")))).alias("block"), _perm(F.col("offset") + F.col("j"), here, F.xxhash64(F.lit(seed), "shard")).cast("int").alias("slot"))
-    first = F.coalesce(F.sum("blocks").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = runs.withColumn("first", first).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("source", "run", F.col("nth").cast("int").alias("nth"), (F.col("first") + F.col("nth")).alias("block"))
-    return places.join(picked.hint("merge"), ["source", "block"]).select("source", "run", "nth", "block", "shard", "slot")  # both grow with the corpus
+    before = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = runs.select("source", "run", "tokens", before.alias("at"), F.sum("tokens").over(W.partitionBy("source")).alias("total"))
+    at, end, begin = F.col("at"), F.col("at") + F.col("tokens"), F.col("block") * block
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(at / block), F.floor((end - 1) / block))))
+    whole = (begin >= at) & (F.least(begin + block, F.col("total")) <= end)
+    places = spans.select("source", "run", F.greatest(begin - at, F.lit(0)).alias("lo"), (F.least(begin + block, end) - at).alias("hi"), F.greatest(at - begin, F.lit(0)).alias("skip"), whole.alias("whole"), "block")
+    return places.join(picked.hint("merge"), ["source", "block"]).select("source", "run", "lo", "hi", "skip", "whole", "block", "shard", "slot")  # both grow with the corpus
 
 
 def _layout(group: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list, list]:
@@ -140,10 +144,11 @@ def _encoded(rows: DataFrame, path: str) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
     """The mixture's blocks: (shard, slot, source, block, n_tokens, doc_ids, tokens)."""
+    parts_of = OUT.append(pa.field("skip", pa.int64()))
 
     def fill(key, group, slots):
         if not len(group) or not len(slots):
-            return OUT.empty_table()
+            return parts_of.empty_table()
         group = group.sort_by([("id", "ascending"), ("ids", "ascending")])
         ids, parts = group["id"].to_pylist(), group["ids"].to_pylist()
         counts = np.array(list(map(len, parts)), np.int64) // 2
@@ -151,21 +156,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         stream = np.full(int(ends[-1]), tk.END, np.int32)
         owner = np.repeat(np.arange(len(ids)), counts + 1)
         stream[np.arange(counts.sum()) + np.repeat(np.arange(len(ids)), counts)] = np.frombuffer(b"".join(parts), "<u2")
-        nth = slots["nth"].to_numpy()
-        lo, hi = nth.astype(np.int64) * block, np.minimum((nth.astype(np.int64) + 1) * block, len(stream))
+        lo, hi = slots["lo"].to_numpy(), slots["hi"].to_numpy()
         size = hi - lo
         flat = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(stream[flat]))
         doc_ids = [ids[owner[a] : owner[b - 1] + 1] for a, b in zip(lo.tolist(), hi.tolist())]
         name = key[0].as_py()
-        names = pa.array([None if name == NONE else name] * len(nth), pa.string())
-        return pa.table([slots["shard"], slots["slot"], names, slots["block"], pa.array(size.astype(np.int32)), pa.array(doc_ids, pa.list_(pa.int64())), tokens], schema=OUT)
+        names = pa.array([None if name == NONE else name] * len(lo), pa.string())
+        return pa.table([slots["shard"], slots["slot"], names, slots["block"], pa.array(size.astype(np.int32)), pa.array(doc_ids, pa.list_(pa.int64())), tokens, slots["skip"]], schema=parts_of)
 
     rows = written(_encoded(_rows(docs, id_col, text, source, span), path), "encoded")
     counted = rows.groupBy("source", "run").agg(F.sum(F.length("ids") / 2 + 1).cast("bigint").alias("tokens"))
-    slots = plan_slots(counted.withColumn("blocks", F.ceil(F.col("tokens") / block)), weights, alpha, shard_slots, seed)
-    slots = slots.toDF("src", "at_run", *slots.columns[2:])
-    return rows.groupBy("source", "run").cogroup(slots.groupBy("src", "at_run")).applyInArrow(fill, SCHEMA)
+    slots = plan_slots(counted, weights, alpha, shard_slots, seed, block)
+    slots = written(slots.toDF("src", "at_run", *slots.columns[2:]), "slots")
+
+    def filled(which: str) -> DataFrame:
+        return rows.groupBy("source", "run").cogroup(slots.where(which).groupBy("src", "at_run")).applyInArrow(fill, SCHEMA + ", skip bigint")
+
+    in_order = F.array_sort(F.collect_list(F.struct("skip", "n_tokens", "doc_ids", "tokens")))
+    split = filled("NOT whole").groupBy("shard", "slot", "source", "block").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), in_order.alias("parts"))
+    joined = split.select("shard", "slot", "source", "block", "n_tokens", F.flatten("parts.doc_ids").alias("doc_ids"), F.flatten("parts.tokens").alias("tokens"))
+    return filled("whole").drop("skip").unionByName(joined)
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
@@ -177,8 +188,8 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
         stream, owner, ends, ids, texts, langs = _layout(group, path)
         rows: list[list] = [[], [], []]
         cache: dict[int, tuple[bytes, np.ndarray]] = {}
-        for nth in np.sort(slots["nth"].to_numpy()).tolist():
-            lo, hi = nth * block, min((nth + 1) * block, len(stream))
+        slots = slots.sort_by("lo")
+        for lo, hi in zip(slots["lo"].to_pylist(), slots["hi"].to_pylist()):
             for d in range(owner[lo], owner[hi - 1] + 1):
                 begin = ends[d - 1] if d else 0
                 if d not in cache:
@@ -192,8 +203,8 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array([None if name == NONE else name] * len(rows[0]), pa.string())], schema=PIECES_OUT)
 
     rows = _rows(docs, id_col, text, source, span)
-    runs = written(_runs(rows, block, path), "runs")
-    slots = plan_slots(runs, weights, alpha, shard_slots, seed)
+    runs = written(_runs(rows, path), "runs")
+    slots = plan_slots(runs, weights, alpha, shard_slots, seed, block)
     slots = slots.toDF("src", "at_run", *slots.columns[2:])
     return rows.groupBy("source", "run").cogroup(slots.groupBy("src", "at_run")).applyInArrow(fill, PIECES)
 

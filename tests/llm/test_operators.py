@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovelake.llm import components, embeddings, htmltext, langid, mixing, packing, pii, quality, sharding, simhash, suffix
+from grovelake.llm import tokens as tk
 
 KIND = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, id STRING, host STRING, node STRING, group_id INT, keep INT, th INT, run INT, shard INT, lang_pred INT, quality_p INT, pii_text INT"
 
@@ -149,6 +150,20 @@ def test_mixing(docs):
     assert pieces.columns == ["doc_id", "text", "lang", "source"] and pieces.count() > 0
 
 
+def test_mixing_gives_a_rare_source_its_share_of_tokens(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(1000 * k, " ".join(word() for _ in range(20)), "rare") for k in range(150)] + [(k, " ".join(word() for _ in range(60)), "usual") for k in range(600)] + [(None, "no id", "rare")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    out = mixing.mix(df, block=128, weights={"rare": 0.5, "usual": 0.5}).collect()
+    streams = {s: [t for r in sorted((r for r in rows if r[2] == s), key=lambda r: (r[0] is None, r[0] or 0)) for t in [*tk.encode([r[1]])[0].tolist(), tk.END]] for s in ("rare", "usual")}
+    for r in out:
+        assert r.tokens == streams[r.source][128 * r.block : 128 * r.block + 128] and r.n_tokens == len(r.tokens)
+    assert len({(r.shard, r.slot) for r in out}) == len(out) == sum(-(-len(s) // 128) for s in streams.values())
+    tokens, slots = {s: sum(r.n_tokens for r in out if r.source == s) for s in streams}, sum(r.source == "rare" for r in out)
+    assert abs(tokens["rare"] / sum(tokens.values()) - slots / len(out)) < 0.01
+
+
 def test_sharding(docs, spark):
     keys = spark.range(20_000)
     r = keys.select(sharding.rendezvous(F.col("id"), [1.0, 1.0, 2.0]).alias("a"), sharding.rendezvous(F.col("id"), [1.0, 1.0, 2.0, 1.0]).alias("b"))
