@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, SimHash near-dedup, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet in the shared
-folder and reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+folder and reread as the next one's ``docs``. All but the last return the columns of ``documents``. From the
+mixing stage on, a row is a piece of a document and its id its place in the mixture, which packing keeps.
 """
 
 from pyspark.sql import DataFrame, SparkSession

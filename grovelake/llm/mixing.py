@@ -180,16 +180,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
-    """The mixture as texts: one row for each document's part of each slot, cut at the end of a character."""
+    """The mixture as texts: one row for each document's part of each slot, cut at the end of a character.
+
+    Its id is the place of its first token in the mixture, (shard * ``shard_slots`` + slot) * ``block`` + the tokens
+    before it in the slot: in the order of the ids, the pieces are the shards, their slots and what these hold.
+    """
 
     def fill(key, group, slots):
         if not len(group) or not len(slots):
             return PIECES_OUT.empty_table()
-        stream, owner, ends, ids, texts, langs = _layout(group, path)
+        stream, owner, ends, _, texts, langs = _layout(group, path)
         rows: list[list] = [[], [], []]
         cache: dict[int, tuple[bytes, np.ndarray]] = {}
         slots = slots.sort_by("lo")
-        for lo, hi in zip(slots["lo"].to_pylist(), slots["hi"].to_pylist()):
+        for lo, hi, skip, shard, slot in zip(*(slots[x].to_pylist() for x in ("lo", "hi", "skip", "shard", "slot"))):
             for d in range(owner[lo], owner[hi - 1] + 1):
                 begin = ends[d - 1] if d else 0
                 if d not in cache:
@@ -197,7 +201,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
                 raw, places = cache[d]
                 part = raw[places[max(lo, begin) - begin] : places[min(hi, ends[d] - 1) - begin]].decode()
                 if part:
-                    for column, x in zip(rows, (ids[d], part, langs[d])):
+                    for column, x in zip(rows, ((shard * shard_slots + slot) * block + skip + max(lo, int(begin)) - lo, part, langs[d])):
                         column.append(x)
         name = key[0].as_py()
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array([None if name == NONE else name] * len(rows[0]), pa.string())], schema=PIECES_OUT)
@@ -214,5 +218,5 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's texts as documents: ids, languages and sources as they were, n_chars of each part."""
+    """The mixture's texts as documents: ids by place in the mixture, languages and sources as they were, n_chars of each part."""
     return mix_texts(docs).withColumn("n_chars", F.length("text").cast("bigint")).select("doc_id", "text", "lang", "source", "n_chars")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mixing
 from . import textbuf as tb
 from . import tokens as tk
 
@@ -146,4 +147,5 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """The mixture's pieces in the order of their ids, each of its shards packed apart."""
+    return pack(docs, span=mixing.BLOCK * mixing.SHARD_SLOTS)

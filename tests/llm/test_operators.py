@@ -202,3 +202,17 @@ def test_pipeline(docs, spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == wanted
+
+
+def test_packing_keeps_the_order_of_the_mixture(docs, spark):
+    rng = random.Random(9)
+    long = [(k, " ".join(f"{rng.choice('zyxwvabc')}{rng.randint(0, 99)}" for _ in range(900)), "en", f"s{k % 2}") for k in range(12)]
+    df = spark.createDataFrame(long, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    blocks = mixing.mix(df).orderBy("shard", "slot").collect()
+    windows = packing.stage(spark, mixing.stage(spark, df, ""), "").orderBy("run", "window").collect()
+    # ends of pieces and spaces at their cuts aside, the text of the windows is that of the slots, one after another
+    model = tk._load(tk.VOCABULARY)[0]
+    plain = lambda rows: "".join(model.decode([t for t in r.tokens if t != tk.END]) for r in rows).replace(" ", "")
+    assert plain(windows) == plain(blocks) and len(blocks) > 12
+    pieces = mixing.mix_texts(df)
+    assert pieces.select("doc_id").distinct().count() == pieces.count()
