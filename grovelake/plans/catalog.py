@@ -454,15 +454,16 @@ def text_line_chunks(spark, sf):
 
 @query()
 def text_hash_embedding(spark, sf):
-    return text.embedded(read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), text.hash_embedder(16))
+    """The vector of every line of every document."""
+    return text.embedded(read(spark, sf, "documents", "doc_id", "text"), text.hash_embedder(16))
 
 
 @query()
 def text_search(spark, sf):
-    """The five nearest benchmark items of each of their own texts: each finds itself at a distance of 0."""
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    """The five nearest documents of each benchmark item, a document by the nearest of its lines."""
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     e = text.hash_embedder(16)
-    return text.search(text.embedded(items, e, text.identity_chunks), items.withColumnRenamed("doc_id", "qid"), 5, e).select("qid", "doc_id", "rank")
+    return text.search(text.embedded(read(spark, sf, "documents", "doc_id", "text"), e), asked, 5, e).select("qid", "doc_id", "rank")
 
 
 AUDIT = """p AS (SELECT doc_id FROM documents), i AS (SELECT doc_id FROM labels UNION SELECT doc_id + 1000000 FROM labels WHERE doc_id % 9 = 0)"""
