@@ -1,35 +1,37 @@
 """Operator 9, mixing sources to target weights.
 
 Each source's documents are tokenised, closed by an end token and laid out in the order of their ids as one
-stream, cut into blocks of ``BLOCK`` tokens (only a source's last one is shorter: nothing is dropped). A stream is
-held in runs of ``SPAN`` ids; running sums of their tokens say which parts of which runs make a block. The mixture has as many slots as there are blocks, in shards
-of ``SHARD_SLOTS``; each shard draws its counts per source from one multinomial with the target weights. The
-k-th slot of a source of n blocks takes block perm(k mod n) of epoch k div n, perm being a keyed pseudorandom
-permutation of the indices (a Feistel network, walked along cycles back into the range), so a source gives each
-block once before it gives any again. Slots are joined with the blocks' places by (source, index), and the
-tokens only then, by run; blocks that lie in several runs are put together from their parts.
-
-Weights default to n ** ``ALPHA`` over the sources' tokens; sources without a weight in ``weights`` get none.
-
-Defined results: null sources are one source; null and blank texts give no tokens; an empty table gives no
-slot; ids that repeat are laid out by text, null ids last in a run of their own.
+stream, cut into blocks of ``BLOCK`` tokens (only a source's last one is shorter: nothing is dropped). The streams
+are laid out by running token counts, so it makes no difference how ids are spread or how large a source is.
+The mixture has as many slots as there are blocks, in shards of ``SHARD_SLOTS``; each shard draws its counts per
+source from one multinomial with the target weights. The k-th slot of a source of n blocks takes block perm(k mod
+n) of epoch k div n, perm being a keyed pseudorandom permutation of the indices (a Feistel network, walked along
+cycles back into the range), so a source gives each block once before it gives any again. Slots are joined with
+the blocks by (source, index).
+
+Weights default to n ** ``ALPHA`` over the sources' tokens; sources without a weight in ``weights`` get none. A
+mixture of more than ``MOST_SOURCES`` sources is refused: every shard draws over all of them.
+
+Defined results: ids may be of any type that sorts. Null sources are one source; null and blank texts give no
+tokens; an empty table gives no slot; rows of one id follow each other by a hash of the text, repeated rows are
+each laid out, rows without an id are their source's last.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from . import runs
+from . import textbuf as tb
 from . import tokens as tk
-from .store import written
+from .store import drop_written, written
 
-BLOCK, SPAN, SHARD_SLOTS, ALPHA, SEED = 1024, 1000, 1024, 0.7, 17
+BLOCK, SHARD_SLOTS, ALPHA, SEED = 1024, 1024, 0.7, 17
+MOST_SOURCES = 1_000_000
 NONE = "\u0000none"
-SCHEMA = "shard bigint, slot int, source string, block bigint, n_tokens int, doc_ids array<bigint>, tokens array<int>"
-OUT = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("block", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32()))])
-PIECES = "doc_id bigint, text string, lang string, source string"
-PIECES_OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())])
+KEYS = ["source", "id", "th", "u"]
 U64 = np.uint64
 
 
@@ -63,154 +65,196 @@ def _perm(k, n, key):
     return index(k, n, key)
 
 
-def _rows(docs: DataFrame, id_col: str, text: str, source: str, span: int) -> DataFrame:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.floor(F.col(id_col) / span).cast("bigint"), F.lit(2**62)).alias("run"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), lang.alias("lang"))
-    return rows.where(r"text RLIKE '[^\\s]'")
+def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, texts: bool) -> DataFrame:
+    """(source, id, th, u, n, ids) of the texts with words: ``u`` differs in all rows, ``n`` counts the end token.
 
-
-def _runs(rows: DataFrame, path: str) -> DataFrame:
-    """(source, run, tokens) by counting the tokens of each text."""
-
-    @F.arrow_udf("bigint")
-    def n_tokens(texts: pa.Array) -> pa.Array:
-        return pa.array(tk.encode(texts, path)[1] + 1)
-
-    counted = rows.select("source", "run", n_tokens("text").alias("n"))
-    return counted.groupBy("source", "run").agg(F.sum("n").alias("tokens"))
-
-
-def plan_slots(runs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, shard_slots: int = SHARD_SLOTS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(source, run, lo, hi, skip, whole, block, shard, slot): the tokens lo to hi of a run that a slot takes, after ``skip`` others; whole: no other run has a part in it."""
-    spark = runs.sparkSession
-    per = sorted((r.source, r.tokens, -(-r.tokens // block)) for r in runs.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect())
-    names, sizes = [p[0] for p in per], [p[2] for p in per]
+    With ``texts`` also the text, the bytes of each token (``ends``) and the columns not named here (``rest``).
+    """
+    width = tk.width(path)
+    rest = [c for c in docs.columns if c not in (id_col, text)]
+
+    @F.arrow_udf("struct<n: bigint, ids: binary>")
+    def encoded(found: pa.Array) -> pa.Array:
+        ids, counts = tk.encode(found, path)
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(ids.astype(width), counts)], ["n", "ids"])
+
+    @F.arrow_udf("struct<n: bigint, ends: binary>")
+    def ended(found: pa.Array) -> pa.Array:
+        ids, counts = tk.encode(found, path)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        ends = [tk.token_ends(x, t.encode(), path) for x, t in zip(parts, found.to_pylist())]
+        flat = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(flat.astype("<i4"), counts)], ["n", "ends"])
+
+    rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(c) for c in rest)).alias("rest")).where(F.col("text").rlike(tb.SOLID.pattern))
+    rows = rows.select("source", "id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), *(("text", "rest", ended("text").alias("e")) if texts else (encoded("text").alias("e"),)))
+    return written(rows.select(*rows.columns[:-1], "e.*"), "encoded")
+
+
+def _streams(placed: DataFrame, block: int) -> DataFrame:
+    """(source, start, tokens, n): where each source's stream begins among all, its tokens and its blocks."""
+    found = placed.groupBy("source").agg(F.min("before").alias("start"), F.sum("n").alias("tokens"))
+    return written(found.withColumn("n", F.ceil(F.col("tokens") / block)), "streams")
+
+
+def plan_slots(streams: DataFrame, weights: dict | None = None, alpha: float = ALPHA, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(source, block, shard, slot) of every slot, given the (source, tokens, n) of each source."""
+    spark = streams.sparkSession
+    per = sorted(tuple(r) for r in streams.select("source", "tokens", "n").limit(MOST_SOURCES + 1).collect())
+    if len(per) > MOST_SOURCES:
+        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
     raw = np.array([max(0.0, float((weights or {}).get("" if s == NONE else s, 0))) if weights is not None else float(t) ** alpha for s, t, _ in per])
-    slots = int(sum(sizes)) if raw.sum() > 0 else 0
+    slots = int(sum(n for _, _, n in per)) if raw.sum() > 0 else 0
     shares = raw / raw.sum() if slots else raw
     shards = -(-slots // shard_slots) if slots else 0
 
     def draw(batches):
         for batch in batches:
-            rows = [[], [], [], []]
+            columns: list[list] = [[], [], [], []]
             for shard in batch.column(0).to_pylist():
                 size = min(shard_slots, slots - shard * shard_slots)
                 counts = np.random.default_rng([seed, shard]).multinomial(size, shares)
-                for k in np.flatnonzero(counts):
-                    for column, x in zip(rows, (shard, int(k), int(counts[k]), int(counts[:k].sum()))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], names=["shard", "s", "count", "offset"])
-
-    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s int, count bigint, offset bigint")
-    start = F.sum("count").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    known = spark.createDataFrame([(k, s, int(n)) for k, (s, n) in enumerate(zip(names, sizes))], "s int, source string, n bigint")
-    taken = drawn.withColumn("start", F.coalesce(start, F.lit(0))).join(F.broadcast(known), "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
-    k = F.col("start") + F.col("j")
-    here = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
-    picked = taken.select("source", "shard", _perm(k % F.col("n"), F.col("n"), F.xxhash64(F.lit(seed), "source", F.floor(k / F.col("n")))).alias("block"), _perm(F.col("offset") + F.col("j"), here, F.xxhash64(F.lit(seed), "shard")).cast("int").alias("slot"))
-    before = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = runs.select("source", "run", "tokens", before.alias("at"), F.sum("tokens").over(W.partitionBy("source")).alias("total"))
-    at, end, begin = F.col("at"), F.col("at") + F.col("tokens"), F.col("block") * block
-    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(at / block), F.floor((end - 1) / block))))
-    whole = (begin >= at) & (F.least(begin + block, F.col("total")) <= end)
-    places = spans.select("source", "run", F.greatest(begin - at, F.lit(0)).alias("lo"), (F.least(begin + block, end) - at).alias("hi"), F.greatest(at - begin, F.lit(0)).alias("skip"), whole.alias("whole"), "block")
-    return places.join(picked.hint("merge"), ["source", "block"]).select("source", "run", "lo", "hi", "skip", "whole", "block", "shard", "slot")  # both grow with the corpus
-
-
-def _layout(group: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list, list]:
-    """The run's tokens, the document of each, each document's end; ids, texts and languages in order."""
-    group = group.sort_by([("id", "ascending"), ("text", "ascending")])
-    texts = group["text"].to_pylist()
-    ids, counts = tk.encode(texts, path)
-    ends = np.cumsum(counts + 1)
-    stream = np.full(int(ends[-1]) if len(ends) else 0, tk.END, np.int32)
-    own = np.ones(len(stream), bool)
-    own[ends - 1] = False
-    stream[own] = ids
-    return stream, np.repeat(np.arange(len(texts)), counts + 1), ends, group["id"].to_pylist(), texts, group["lang"].to_pylist()
-
-
-def _encoded(rows: DataFrame, path: str) -> DataFrame:
-    """(source, run, id, ids): each text's tokens as little-endian 16-bit integers."""
-
-    @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        found, counts = tk.encode(texts, path)
-        edge = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 2
-        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(found.astype("<u2").tobytes())])
-
-    return rows.select("source", "run", "id", ids("text").alias("ids"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
+                some = np.flatnonzero(counts)
+                for column, x in zip(columns, (np.full(len(some), shard), some, counts[some], (np.cumsum(counts) - counts)[some])):
+                    column.append(np.asarray(x, np.int64))
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["shard", "s", "count", "offset"])
+
+    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s bigint, count bigint, offset bigint")
+    drawn, _ = runs.running(drawn, ["s", "shard"], "count", ("offset",))
+    first = drawn.groupBy("s").agg(F.min("before").alias("first"))
+    known = spark.createDataFrame([(k, s, int(n)) for k, (s, _, n) in enumerate(per)], "s bigint, source string, size bigint")
+    taken = drawn.join(first, "s").join(known, "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    k, size = F.col("before") - F.col("first") + F.col("j"), F.col("size")
+    here = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots).cast("bigint")
+    block = _perm(k % size, size, F.xxhash64(F.lit(seed), "source", F.floor(k / size)))
+    return taken.select("source", block.alias("block"), "shard", _perm(F.col("offset") + F.col("j"), here, F.xxhash64(F.lit(seed), "shard")).cast("int").alias("slot"))
+
+
+def _laid_out(rows: DataFrame, placed: DataFrame, total: int, streams: DataFrame) -> tuple[DataFrame, list[int], list[bool]]:
+    """(rows in the order of their streams, a part after another; the place of each part's first row in its stream; whether its last stream goes on in the next part)."""
+    moved, starts = runs.parted(rows, placed, total, KEYS)
+    spark = rows.sparkSession
+    heads = spark.createDataFrame([(k, at, first[0]) for k, (at, first) in enumerate(starts)], "k int, at bigint, source string")
+    begins = dict(heads.join(streams, "source").select("k", F.col("at") - F.col("start")).collect())  # one row for each part
+    return moved, [begins[k] for k in range(len(starts))], [begins.get(k + 1, 0) > 0 for k in range(len(starts))]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
     """The mixture's blocks: (shard, slot, source, block, n_tokens, doc_ids, tokens)."""
-    parts_of = OUT.append(pa.field("skip", pa.int64()))
-
-    def fill(key, group, slots):
-        if not len(group) or not len(slots):
-            return parts_of.empty_table()
-        group = group.sort_by([("id", "ascending"), ("ids", "ascending")])
-        ids, parts = group["id"].to_pylist(), group["ids"].to_pylist()
-        counts = np.array(list(map(len, parts)), np.int64) // 2
-        ends = np.cumsum(counts + 1)
-        stream = np.full(int(ends[-1]), tk.END, np.int32)
-        owner = np.repeat(np.arange(len(ids)), counts + 1)
-        stream[np.arange(counts.sum()) + np.repeat(np.arange(len(ids)), counts)] = np.frombuffer(b"".join(parts), "<u2")
-        lo, hi = slots["lo"].to_numpy(), slots["hi"].to_numpy()
-        size = hi - lo
-        flat = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(stream[flat]))
-        doc_ids = [ids[owner[a] : owner[b - 1] + 1] for a, b in zip(lo.tolist(), hi.tolist())]
-        name = key[0].as_py()
-        names = pa.array([None if name == NONE else name] * len(lo), pa.string())
-        return pa.table([slots["shard"], slots["slot"], names, slots["block"], pa.array(size.astype(np.int32)), pa.array(doc_ids, pa.list_(pa.int64())), tokens, slots["skip"]], schema=parts_of)
-
-    rows = written(_encoded(_rows(docs, id_col, text, source, span), path), "encoded")
-    counted = rows.groupBy("source", "run").agg(F.sum(F.length("ids") / 2 + 1).cast("bigint").alias("tokens"))
-    slots = plan_slots(counted, weights, alpha, shard_slots, seed, block)
-    slots = written(slots.toDF("src", "at_run", *slots.columns[2:]), "slots")
-
-    def filled(which: str) -> DataFrame:
-        return rows.groupBy("source", "run").cogroup(slots.where(which).groupBy("src", "at_run")).applyInArrow(fill, SCHEMA + ", skip bigint")
-
-    in_order = F.array_sort(F.collect_list(F.struct("skip", "n_tokens", "doc_ids", "tokens")))
-    split = filled("NOT whole").groupBy("shard", "slot", "source", "block").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), in_order.alias("parts"))
-    joined = split.select("shard", "slot", "source", "block", "n_tokens", F.flatten("parts.doc_ids").alias("doc_ids"), F.flatten("parts.tokens").alias("tokens"))
-    return filled("whole").drop("skip").unionByName(joined)
-
-
-def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, span: int = SPAN, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
-    """The mixture as texts: one row for each document's part of each slot, cut at the end of a character.
+    width = tk.width(path)
+    rows = _encoded(docs, id_col, text, source, path, False)
+    placed, total = runs.running(rows, KEYS)
+    streams = _streams(placed, block)
+    moved, begins, goes_on = _laid_out(rows, placed, total, streams)
+    id_kind = rows.schema["id"].dataType
+    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("skip", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(id_kind)), T.StructField("tokens", T.BinaryType())])
+
+    def cut(batches):
+        held, owners, size, place, now, part, id_type = [], [], 0, 0, None, None, None
+
+        def blocks(all_of_it: bool, ended: bool):
+            """The blocks of what is held; its last, unless it is full or ``all_of_it`` goes, stays."""
+            nonlocal held, owners, size, place
+            stream, owner = np.concatenate(held), np.repeat(np.arange(len(owners)), [len(x) for x in held])
+            edges = np.arange((place // block + 1) * block - place, size, block)
+            edges = np.concatenate([[0], edges, [size]]).astype(np.int64)
+            full = all_of_it or (place + size) % block == 0
+            n = len(edges) - 1 if full else len(edges) - 2
+            out: list[list] = [[], [], [], [], [], []]
+            for a, b in zip(edges[:n].tolist(), edges[1 : n + 1].tolist()):
+                at = place + a
+                whole = at % block == 0 and (b - a == block or (ended and b == size))
+                for column, x in zip(out, (at // block, at % block, b - a, whole, owners[owner[a] : owner[b - 1] + 1], stream[a:b].astype(width).tobytes())):
+                    column.append(x)
+            left = int(edges[n]) if not full else size
+            if left < size:
+                k = int(owner[left])
+                ends = np.cumsum([len(x) for x in held])
+                held, owners = [held[k][left - int(ends[k]) :], *held[k + 1 :]], owners[k:]
+            else:
+                held, owners = [], []
+            place, size = place + left, size - left
+            names = pa.array([now] * n, pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.list_(id_type)), pa.array(out[5], pa.binary())], names=kind.names)
+
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            for p, s, i, ids in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "source", "id", "ids"))):
+                if p != part or s != now:
+                    if size:
+                        yield blocks(True, p == part or not goes_on[part])
+                    place = begins[p] if p != part else 0
+                    part, now = p, s
+                held.append(np.append(np.frombuffer(ids, width).astype(np.int32), np.int32(tk.END)))
+                owners.append(i)
+                size += len(held[-1])
+                if size >= 128 * block:
+                    yield blocks(False, False)
+        if size:
+            yield blocks(True, not goes_on[part])
+
+    pieces = written(moved.mapInArrow(cut, kind), "pieces")
+    drop_written(rows)
+    slots = plan_slots(streams, weights, alpha, shard_slots, seed)
+    ordered = F.array_sort(F.collect_list(F.struct("skip", "n_tokens", "doc_ids", "tokens")))
+    split = pieces.where("NOT whole").groupBy("source", "block").agg(ordered.alias("parts"))  # a few at the ends of each part
+    joined = split.select("source", "block", F.aggregate("parts", F.lit(0), lambda acc, x: acc + x["n_tokens"]).alias("n_tokens"), F.flatten("parts.doc_ids").alias("doc_ids"), F.aggregate("parts", F.lit(bytearray()), lambda acc, x: F.concat(acc, x["tokens"])).alias("tokens"))
+    blocks = pieces.where("whole").select(*joined.columns).unionByName(joined)
+
+    @F.arrow_udf("array<int>")
+    def as_ints(raw: pa.Array) -> pa.Array:
+        each = raw.to_pylist()
+        edge = np.concatenate([[0], np.cumsum(list(map(len, each)))]) // np.dtype(width).itemsize
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), width).astype(np.int32)))
+
+    found = slots.hint("merge").join(blocks, ["source", "block"])  # both grow with the corpus
+    return found.select("shard", "slot", F.nullif("source", F.lit(NONE)).alias("source"), "block", "n_tokens", "doc_ids", as_ints("tokens").alias("tokens"))
+
+
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, path: str = tk.VOCABULARY) -> DataFrame:
+    """The mixture as texts, with the columns of ``docs``: one row for each document's part of each slot, cut at the end of a character.
 
     Its id is the place of its first token in the mixture, (shard * ``shard_slots`` + slot) * ``block`` + the tokens
     before it in the slot: in the order of the ids, the pieces are the shards, their slots and what these hold.
     """
-
-    def fill(key, group, slots):
-        if not len(group) or not len(slots):
-            return PIECES_OUT.empty_table()
-        stream, owner, ends, _, texts, langs = _layout(group, path)
-        rows: list[list] = [[], [], []]
-        cache: dict[int, tuple[bytes, np.ndarray]] = {}
-        slots = slots.sort_by("lo")
-        for lo, hi, skip, shard, slot in zip(*(slots[x].to_pylist() for x in ("lo", "hi", "skip", "shard", "slot"))):
-            for d in range(owner[lo], owner[hi - 1] + 1):
-                begin = ends[d - 1] if d else 0
-                if d not in cache:
-                    cache = {d: (raw := texts[d].encode(), np.concatenate([[0], tk.token_ends(stream[begin : ends[d] - 1], raw, path)]))}
-                raw, places = cache[d]
-                part = raw[places[max(lo, begin) - begin] : places[min(hi, ends[d] - 1) - begin]].decode()
-                if part:
-                    for column, x in zip(rows, ((shard * shard_slots + slot) * block + skip + max(lo, int(begin)) - lo, part, langs[d])):
-                        column.append(x)
-        name = key[0].as_py()
-        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array([None if name == NONE else name] * len(rows[0]), pa.string())], schema=PIECES_OUT)
-
-    rows = _rows(docs, id_col, text, source, span)
-    runs = written(_runs(rows, path), "runs")
-    slots = plan_slots(runs, weights, alpha, shard_slots, seed, block)
-    slots = slots.toDF("src", "at_run", *slots.columns[2:])
-    return rows.groupBy("source", "run").cogroup(slots.groupBy("src", "at_run")).applyInArrow(fill, PIECES)
+    rows = _encoded(docs, id_col, text, source, path, True)
+    placed, total = runs.running(rows, KEYS)
+    streams = _streams(placed, block)
+    moved, begins, _ = _laid_out(rows, placed, total, streams)
+    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("piece", T.StringType()), rows.schema["rest"]])
+
+    def cut(batches):
+        part, now, place = None, None, 0
+        for batch in batches:
+            column = lambda x: batch.column(batch.schema.get_field_index(x))  # noqa: B023, E731
+            taken: list[int] = []
+            out: list[list] = [[], [], [], []]
+            for row, (p, s, whole, ends, n) in enumerate(zip(*(column(x).to_pylist() for x in ("part", "source", "text", "ends", "n")))):
+                if p != part or s != now:
+                    place = begins[p] if p != part else 0
+                    part, now = p, s
+                raw, bounds = whole.encode(), np.append(0, np.frombuffer(ends, "<i4"))
+                lo = 0
+                while lo < n - 1:
+                    hi = min(n - 1, (((place + lo) // block) + 1) * block - place)
+                    piece = raw[bounds[lo] : bounds[hi]].decode()
+                    if piece:
+                        taken.append(row)
+                        for c, x in zip(out, (s, (place + lo) // block, (place + lo) % block, piece)):
+                            c.append(x)
+                    lo = hi
+                place += n
+            if taken:
+                rest = column("rest").take(pa.array(taken, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), rest], names=kind.names)
+
+    pieces = written(moved.mapInArrow(cut, kind), "pieces")
+    drop_written(rows)
+    slots = plan_slots(streams, weights, alpha, shard_slots, seed)
+    found = slots.hint("merge").join(pieces, ["source", "block"])
+    first = ((F.col("shard") * shard_slots + F.col("slot")) * block + F.col("at")).alias(id_col)
+    return found.select(*(first if c == id_col else F.col("piece").alias(text) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -218,5 +262,6 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's texts as documents: ids by place in the mixture, languages and sources as they were, n_chars of each part."""
-    return mix_texts(docs).withColumn("n_chars", F.length("text").cast("bigint")).select("doc_id", "text", "lang", "source", "n_chars")
+    """The mixture's texts as documents: ids by place in the mixture, n_chars of each part, other columns as they were."""
+    out = mix_texts(docs)
+    return out.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

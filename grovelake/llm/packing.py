@@ -5,12 +5,15 @@ and cut into windows of at most ``WINDOW`` tokens. A cut lies at the end of a do
 sentence (after a line end or ``. ! ?`` and white space; ``CUT_PENALTY``); a sentence longer than a window may also be cut every ``WINDOW // 8`` tokens
 (``SPLIT_PENALTY``). The cuts minimise padding plus penalties: with S the running token count,
 f(j) = min over i of f(i) + WINDOW - (S(j) - S(i)) + penalty(j), where S(j) - S(i) <= WINDOW; the minimum of
-f(i) + S(i) over that sliding range is the front of a monotone queue, so that the time is linear. Runs of
-``SPAN`` consecutive ids are packed apart, which makes the work parallel and bounds a task; the last window
-of each is padded.
+f(i) + S(i) over that sliding range is the front of a monotone queue, so that the time is linear.
 
-Defined results: null and blank texts give no tokens and appear in no window; an empty table gives no window.
-Rows of one id follow each other by text, repeated rows are each packed. Null ids form one run, at the end.
+The stream of all documents is packed in runs: a run holds the documents that begin in one stretch of ``RUN``
+tokens, so the work is parallel, a task holds one run at a time, and only the last window of each run is padded
+for that. How ids are spread doesn't matter. A run is as long as its documents: one longer than ``RUN`` is whole.
+
+Defined results: ids may be of any type that sorts. Null and blank texts give no tokens and appear in no window;
+an empty table gives no window. Rows of one id follow each other by a hash of the text, repeated rows are each
+packed; rows without an id come last, by that hash. Columns that are not used are not read.
 """
 
 from collections import deque
@@ -19,19 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import mixing
+from . import runs
 from . import textbuf as tb
 from . import tokens as tk
+from .store import written
 
-WINDOW, SPAN = 2048, 1000
+WINDOW, RUN = 2048, 1 << 20
 CUT_PENALTY, SPLIT_PENALTY = 64, 512
 _SPACE, _FINAL = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FINAL[[10, ord("."), ord("!"), ord("?")]] = True
-SCHEMA = "run bigint, window int, doc_ids array<bigint>, n_tokens int, padding int, cut string, tokens array<int>"
-OUT = pa.schema([("run", pa.int64()), ("window", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("padding", pa.int32()), ("cut", pa.string()), ("tokens", pa.list_(pa.int32()))])
+NAMES = ("window", "doc_ids", "n_tokens", "padding", "cut", "tokens")
 KINDS = np.array(["document", "sentence", "split"])
+KEYS = ["id", "th", "u"]
 
 
 def best_cuts(sizes: list[int], penalties: list[int], window: int) -> tuple[list[int], int]:
@@ -60,86 +65,125 @@ def best_cuts(sizes: list[int], penalties: list[int], window: int) -> tuple[list
     return cuts[::-1], cost[n]
 
 
-def units(texts: list[str], data: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, ...]:
-    """(tokens with the end tokens, end of each document, size of each sentence, whether it closes its document, its document)."""
-    ids, counts = tk.encode(texts, path)
-    size = tk.sizes(path)[ids]
-    edge = np.concatenate([[0], np.cumsum(counts)])
-    total = np.concatenate([[0], np.cumsum(size)])
-    byte_end = total[1:] + np.repeat(offs[:-1] - total[edge[:-1]] - 1, counts)
-    for d in np.flatnonzero(total[edge[1:]] - total[edge[:-1]] - 1 != np.diff(offs)).tolist():
-        byte_end[edge[d] : edge[d + 1]] = offs[d] + tk.token_ends(ids[edge[d] : edge[d + 1]], data[offs[d] : offs[d + 1]].tobytes(), path)
-    space, final = _SPACE[data], _FINAL[data]
-    soft = space | final
-    turn = np.flatnonzero(np.diff(soft.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    begin, end = turn[::2], turn[1::2]
-    spaces, finals = np.concatenate([[0], np.cumsum(space)]), np.concatenate([[0], np.cumsum(final)])
-    end = end[(spaces[end] > spaces[begin]) & (finals[end] > finals[begin])]
-    end = end - (data[end - 1] == 32)  # a space is the first byte of the word after it
-    cuts = np.unique(np.concatenate([np.searchsorted(byte_end, end, "right"), edge[1:]]))
-    cuts = cuts[cuts > 0]
-    own = np.searchsorted(edge, cuts, "left") - 1
-    last = cuts == edge[own + 1]
-    ends = edge[1:] + np.arange(1, len(edge))
-    stream = np.full(int(ends[-1]), tk.END, np.int32)
-    stream[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-    return stream, ends, np.diff(cuts, prepend=0) + last, last, own
-
-
-def pack_run(ids: list, texts: list, window: int = WINDOW, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> dict:
-    """The windows of one run of documents that are in order."""
-    kept = [k for k, text in enumerate(texts) if text and not text.isspace()]
-    if not kept:
-        return {name: [] for name in OUT.names if name != "run"}
-    stream, sizes, closing, owner = [], [], [], []
-    for row, data, offs in tb.slices(pa.array([texts[k] for k in kept], pa.large_string()), 1 << 22):
-        part = kept[row : row + len(offs) - 1]
-        tokens, ends, size, last, own = units([texts[k] for k in part], data, offs, path)
-        stream.append(tokens), sizes.append(size), closing.append(last), owner.append(np.array(part)[own])
-    stream, sizes, closing, owner = (np.concatenate(x) for x in (stream, sizes, closing, owner))
+def units(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of all texts, number of each text, sizes of all sentences, number of each text); the last sentence of a text counts its end token."""
+    out: list[list] = [[], [], [], []]
+    for row, data, offs in tb.slices(texts, 1 << 22):
+        ids, counts = tk.encode(texts[row : row + len(offs) - 1], path)
+        size = tk.sizes(path)[ids]
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(size)])
+        byte_end = total[1:] + np.repeat(offs[:-1] - total[edge[:-1]] - 1, counts)
+        for d in np.flatnonzero(total[edge[1:]] - total[edge[:-1]] - 1 != np.diff(offs)).tolist():
+            byte_end[edge[d] : edge[d + 1]] = offs[d] + tk.token_ends(ids[edge[d] : edge[d + 1]], data[offs[d] : offs[d + 1]].tobytes(), path)
+        space, final = _SPACE[data], _FINAL[data]
+        soft = space | final
+        turn = np.flatnonzero(np.diff(soft.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        begin, end = turn[::2], turn[1::2]
+        spaces, finals = np.concatenate([[0], np.cumsum(space)]), np.concatenate([[0], np.cumsum(final)])
+        end = end[(spaces[end] > spaces[begin]) & (finals[end] > finals[begin])]
+        end = end - (data[end - 1] == 32)  # a space is the first byte of the word after it
+        cuts = np.unique(np.concatenate([np.searchsorted(byte_end, end, "right"), edge[1:]]))
+        cuts = cuts[cuts > 0]
+        own = np.searchsorted(edge, cuts, "left") - 1
+        sentences = np.diff(cuts, prepend=0) + (cuts == edge[own + 1])
+        each = np.bincount(own, minlength=len(counts))
+        bare = np.flatnonzero(each == 0)  # a text without tokens is its end token
+        sentences = np.insert(sentences, (np.cumsum(each) - each)[bare], 1)
+        each[bare] = 1
+        for part, x in zip(out, (ids, counts, sentences, each)):
+            part.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
+def pack_units(ids: list, parts: list[np.ndarray], sentences: list[np.ndarray], window: int = WINDOW, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY) -> dict:
+    """The windows of one run: documents in order, each with its tokens and the sizes of its sentences."""
+    rows: dict = {name: [] for name in NAMES}
+    if not ids:
+        return rows
+    each = np.array(list(map(len, sentences)))
+    sizes, owner = np.concatenate(sentences).astype(np.int64), np.repeat(np.arange(len(ids)), each)
+    closing = np.zeros(len(sizes), bool)
+    closing[np.cumsum(each) - 1] = True
+    length = np.array(list(map(len, parts)))
+    stream = np.full(int(length.sum()) + len(ids), tk.END, np.int32)
+    stream[np.arange(int(length.sum())) + np.repeat(np.arange(len(ids)), length)] = np.concatenate(parts)
     step = max(1, window // 8)
     pieces = np.where(sizes > window, -(-sizes // step), 1)
-    if (pieces > 1).any():
-        which = np.repeat(np.arange(len(sizes)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        final = nth == pieces[which] - 1
-        sizes = np.where(pieces[which] == 1, sizes[which], np.where(final, sizes[which] - step * (pieces[which] - 1), step))
-        kind = np.where(~final, 2, np.where(closing[which], 0, 1))
-    else:
-        which, kind = np.arange(len(sizes)), np.where(closing, 0, 1)
+    which = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    final = nth == pieces[which] - 1
+    kind = np.where(~final, 2, np.where(closing[which], 0, 1))
+    sizes = np.where(pieces[which] == 1, sizes[which], np.where(final, sizes[which] - step * (pieces[which] - 1), step))
     used = sizes > 0
     sizes, kind, which = sizes[used], kind[used], which[used]
     cuts, _ = best_cuts(sizes.tolist(), np.array([0, cut, split])[kind].tolist(), window)
     docs, total = owner[which], np.concatenate([[0], np.cumsum(sizes)])
-    rows = {name: [] for name in OUT.names if name != "run"}
     at = 0
     for k, to in enumerate(cuts):
         seen = docs[at:to]
         seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])]
-        rows["window"].append(k)
-        rows["doc_ids"].append([ids[d] for d in seen])
-        rows["n_tokens"].append(int(total[to] - total[at]))
-        rows["padding"].append(int(window - total[to] + total[at]))
-        rows["cut"].append(str(KINDS[kind[to - 1]]))
-        rows["tokens"].append(stream[total[at] : total[to]])
+        used_here = int(total[to] - total[at])
+        for name, x in zip(NAMES, (k, [ids[d] for d in seen], used_here, window - used_here, str(KINDS[kind[to - 1]]), stream[total[at] : total[to]])):
+            rows[name].append(x)
         at = to
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, span: int = SPAN, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> DataFrame:
-    """Windows of ``docs``: (run, window, doc_ids, n_tokens, padding, cut, tokens)."""
+def pack_run(ids: list, texts: list, window: int = WINDOW, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> dict:
+    """The windows of one run of texts that are in order."""
+    kept = [k for k, text in enumerate(texts) if text and tb.SOLID.search(text)]
+    flat, counts, sentences, each = units(pa.array([texts[k] for k in kept], pa.large_string()), path)
+    cut_up = lambda x, n: np.split(x, np.cumsum(n)[:-1]) if len(n) else []
+    return pack_units([ids[k] for k in kept], cut_up(flat, counts), cut_up(sentences, each), window, cut, split)
 
-    def run(key, group):
-        group = group.sort_by([("id", "ascending"), ("text", "ascending")])
-        rows = pack_run(group["id"].to_pylist(), group["text"].to_pylist(), window, cut, split, path)
-        n = len(rows["window"])
-        lengths = np.concatenate([[0], np.cumsum(rows["n_tokens"])]).astype(np.int32)
-        flat = np.concatenate(rows["tokens"]) if n else np.zeros(0, np.int32)
-        columns = [pa.array([key[0].as_py()] * n, pa.int64())] + [pa.array(rows[f.name], f.type) for f in list(OUT)[1:-1]]
-        return pa.table([*columns, pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], schema=OUT)
 
-    rows = docs.select(F.floor(F.col(id_col) / span).cast("bigint").alias("run"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.where("text IS NOT NULL").groupBy("run").applyInArrow(run, SCHEMA)
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> DataFrame:
+    """Windows of ``docs``: (run, window, doc_ids, n_tokens, padding, cut, tokens)."""
+    width = tk.width(path)
+
+    @F.arrow_udf("struct<n: bigint, ids: binary, sentences: binary>")
+    def encoded(texts: pa.Array) -> pa.Array:
+        flat, counts, sentences, each = units(texts, path)
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(flat.astype(width), counts), runs.binaries(sentences.astype("<i4"), each)], ["n", "ids", "sentences"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(tb.SOLID.pattern))
+    rows = rows.select("id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), encoded("text").alias("e")).select("id", "th", "u", "e.*")
+    rows = written(rows, "encoded")
+    placed, total = runs.running(rows, KEYS)
+    moved, starts = runs.parted(rows, placed, total, KEYS, run)
+    begins = [at for at, _ in starts]
+    kind = T.StructType([T.StructField("run", T.LongType()), T.StructField("window", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(rows.schema["id"].dataType)), *T._parse_datatype_string("n_tokens int, padding int, cut string, tokens array<int>").fields])
+
+    def windows(batches):
+        held: tuple = ([], [], [])
+        part, at, now, id_type = None, 0, None, None
+
+        def flush():
+            found = pack_units(*held, window, cut, split)
+            for x in held:
+                x.clear()
+            n = len(found["window"])
+            edge = np.concatenate([[0], np.cumsum(found["n_tokens"])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(found["tokens"])))
+            return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int64()), pa.array(found["window"], pa.int32()), pa.array(found["doc_ids"], pa.list_(id_type)), pa.array(found["n_tokens"], pa.int32()), pa.array(found["padding"], pa.int32()), pa.array(found["cut"], pa.string()), tokens], names=kind.names)
+
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            for p, i, n, ids, sentences in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "id", "n", "ids", "sentences"))):
+                if p != part:
+                    part, at = p, begins[p]
+                if at // run != now:
+                    if held[0]:
+                        yield flush()
+                    now = at // run
+                at += n
+                for column, x in zip(held, (i, np.frombuffer(ids, width), np.frombuffer(sentences, "<i4"))):
+                    column.append(x)
+        if held[0]:
+            yield flush()
+
+    return moved.mapInArrow(windows, kind)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
@@ -147,5 +191,5 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's pieces in the order of their ids, each of its shards packed apart."""
-    return pack(docs, span=mixing.BLOCK * mixing.SHARD_SLOTS)
+    """The mixture's pieces in the order of their ids, which are places in the mixture."""
+    return pack(docs)

@@ -1,5 +1,6 @@
 """Whole texts as numpy buffers: words, their hashes and byte n-grams, without a Python step per row."""
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+#: A text without such a character is blank: it has nothing but ASCII white space. Java and Python read it alike.
+SOLID = re.compile(r"[^\x09-\x0d\x1c-\x20]")
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)

@@ -105,6 +105,11 @@ def sizes(path: str = VOCABULARY) -> np.ndarray:
     return _load(path)[1]
 
 
+def width(path: str = VOCABULARY) -> str:
+    """The kind of integers that hold every id of the vocabulary."""
+    return "<u2" if _load(path)[0].get_piece_size() <= 1 << 16 else "<i4"
+
+
 def token_ends(ids: np.ndarray, data: bytes, path: str = VOCABULARY) -> np.ndarray:
     """Where each token of one text ends in its UTF-8 bytes, moved on to the end of a character."""
     model, size = _load(path)
