@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .store import drop_written, written
 
@@ -11,22 +10,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of an edge with the smallest node that it is connected to.
 
     The number of rounds grows with the logarithm of the longest path. Each round is a table in the shared
-    folder, so that lineage stays short and a lost executor costs no more than its own tasks. Null ends, loops
-    and repeated edges are dropped; an edge table without rows gives none.
+    folder, so that lineage stays short and a lost executor costs no more than its own tasks. A node's smallest
+    neighbour is aggregated before it is shuffled and joined back, so a node of very many edges is no task of its
+    own. Null ends, loops and repeated edges are dropped; an edge table without rows gives none.
     """
     clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = written(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _checksum(now)
     while mark[0]:
         both = now.union(now.select("v", "u"))
-        least = F.least("u", F.min("v").over(W.partitionBy("u")))
-        large = both.select("u", "v", least.alias("m")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        ranked = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
-        small = ranked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = written(small.select("e.*").where("u <> v").distinct(), "edges")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "edges")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v <> m").select("v", "m").union(lowest.select("u", "m")).toDF("u", "v")
+        after = written(small.where("u <> v").distinct(), "edges")
         found = _checksum(after)
         drop_written(now)
+        drop_written(large)
         now = after
         if found == mark:
             break

@@ -3,14 +3,19 @@
 Vectors are normalised; equal ones are one node. A table's key is the tuple of floor((a . x + b) / ``WIDTH``)
 over k random Gaussian projections. With p(d) the chance that one projection puts two vectors of distance d in
 one cell, k is chosen so that n * p(d of unrelated vectors) ** k is about 1, and the number of tables so that a
-pair at the threshold meets in at least one with probability ``RECALL``: the work grows as n ** (1 + rho), not
-as its square, and no bucket is capped. Only nodes that share a bucket go on; every pair within a bucket is
-checked by its exact cosine, block by block. A bucket hands on the links that span its groups, which connect
-the same nodes as all its pairs; connected components join them. The smallest id of a group stays.
+pair at the threshold meets in at least one with probability ``RECALL``: among unrelated vectors the work grows as
+n ** (1 + rho), not as its square. Vectors that are near each other share buckets, however many they are: each
+pair within a bucket is checked by its exact cosine, block by block, and a bucket of more than ``MOST`` nodes is
+compared in units of two of its parts (``units``), so memory is bounded and no pair is left out.
+
+A unit hands on, for each node, one link of those that connect it and how many nodes it is near to that it met
+in no earlier table (by its keys of all tables, kept with the vector). Connected components join the links; the
+smallest id of a group stays.
 
 Defined results: null and empty vectors, zero vectors and those with a null, NaN or infinite element match
 nothing and stay. Vectors of different lengths never match. Rows that repeat an id and vector are copies: one
-stays. Null ids sort last. A result has a row for each input row.
+stays. Null ids sort last. A result has a row for each input row; ``n_links`` counts the other vectors near a
+row's own, equal ones being one.
 """
 
 import math
@@ -19,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import textbuf as tb
+from . import units as un
 from .components import components
 from .store import written
 
 THRESHOLD, WIDTH, RECALL, SEED = 0.95, 2.0, 0.97, 40
 U64 = np.uint64
+UNIT = ["bucket", "i", "j"]
 
 
 def meets(distance: float, width: float = WIDTH) -> float:
@@ -49,8 +55,12 @@ def unit(vectors: pa.Array) -> list[bytes | None]:
     out: list = []
     for x in vectors.to_pylist():
         a = None if not x or any(e is None for e in x) else np.asarray(x, np.float64)
-        norm = 0.0 if a is None else float(np.sqrt((a / max(np.abs(a).max(), 1e-300)) @ (a / max(np.abs(a).max(), 1e-300)))) * float(np.abs(a).max())
-        out.append((a / norm).astype("<f4").tobytes() if norm > 0 and np.isfinite(norm) else None)
+        top = 0.0 if a is None else float(np.abs(a).max())
+        if not 0 < top < np.inf:
+            out.append(None)
+            continue
+        a = a / top  # no square overflows or vanishes
+        out.append((a / np.sqrt(a @ a)).astype("<f4").tobytes())
     return out
 
 
@@ -83,92 +93,97 @@ def keys(rows: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.n
 
 def links(rows: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
     """For each row, the smallest row that pairs of cosine >= threshold connect it with."""
-    n = len(rows)
-    label = np.arange(n)
-    left, right = [], []
-    for a in range(0, n, block):
-        for b in range(a, n, block):
-            i, j = np.nonzero(rows[a : a + block] @ rows[b : b + block].T >= threshold)
-            i, j = i + a, j + b
-            up = i < j
-            left.append(i[up]), right.append(j[up])
-    i, j = np.concatenate(left), np.concatenate(right)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
-def near_edges(nodes: DataFrame, k: int, tables: int, threshold: float = THRESHOLD, width: float = WIDTH, seed: int = SEED) -> DataFrame:
-    """(a, b), a < b: links among ``nodes`` (node, v) that connect all verified pairs of each bucket."""
+    return un.links(len(rows), lambda a, b: rows[a] @ rows[b].T >= threshold, lambda i, j: np.ones(len(i), bool), None, block)[0]
+
+
+def unit_links(rows: np.ndarray, met: np.ndarray, table: int, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(label, count) of one unit of a table's bucket; ``met`` holds each row's keys of all tables."""
+
+    def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.ones(len(i), bool)
+        for a in range(0, len(i), 65536):
+            at = slice(a, a + 65536)
+            out[at] = ~(met[i[at], :table] == met[j[at], :table]).any(1)
+        return out
+
+    return un.links(len(rows), lambda a, b: rows[a] @ rows[b].T >= threshold, first, side)
+
+
+def near_links(nodes: DataFrame, k: int, tables: int, threshold: float = THRESHOLD, width: float = WIDTH, seed: int = SEED, most: int = un.MOST) -> DataFrame:
+    """(node, low, n) of ``nodes`` (node, v): in one unit, a node that links connect it with and how many near it are met first there."""
+
+    @F.arrow_udf("binary")
+    def keyed(vectors: pa.Array) -> pa.Array:
+        each = vectors.to_pylist()
+        size, out = np.array(list(map(len, each))), np.empty((len(each), tables), U64)
+        for length in np.unique(size):
+            at = np.flatnonzero(size == length)
+            out[at] = keys(np.frombuffer(b"".join(each[i] for i in at), "<f4").reshape(len(at), -1), k, tables, width, seed)
+        return pa.array([x.tobytes() for x in out], pa.binary())
+
+    def buckets(batch) -> np.ndarray:
+        met = np.frombuffer(b"".join(batch.column(1).to_pylist()), U64).reshape(-1, tables)
+        return tb.mix(met + np.arange(tables, dtype=U64)).view(np.int64)
+
+    def sizes(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found, n = np.unique(buckets(batch), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["bucket", "n"])
 
     def spread(batches):
         for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            size = np.array(list(map(len, vectors)))
-            for length in np.unique(size):
-                at = np.flatnonzero(size == length)
-                found = keys(np.frombuffer(b"".join(vectors[i] for i in at), "<f4").reshape(len(at), -1), k, tables, width, seed)
-                node = np.asarray(batch.column(0))[at]
+            if batch.num_rows:
+                found = buckets(batch)
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(tb.mix(found[:, t] + U64(t)).view(np.int64)), pa.array(node)], names=["bucket", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, t].copy()), pa.array(np.full(len(found), t, np.int32)), batch.column(0)], names=["bucket", "t", "node"])
 
     def verify(batches):
-        held = None
-        for batch in batches:
-            if batch.num_rows:
-                now = pa.Table.from_batches([batch])
-                held = now if held is None else pa.concat_tables([held, now])
-                key = np.asarray(held["bucket"])
-                ends = np.flatnonzero(key[1:] != key[:-1])
-                if len(ends):  # the last bucket may go on in the next batch
-                    yield found(held.slice(0, int(ends[-1]) + 1))
-                    held = held.slice(int(ends[-1]) + 1).combine_chunks()
-        if held is not None:
-            yield found(held)
-
-    def found(rows):
-        key, node, vectors = np.asarray(rows["bucket"]), np.asarray(rows["node"]), rows["v"].to_pylist()
-        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        a, b = [], []
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            own, place = np.unique(node[lo:hi], return_index=True)
-            lengths = np.array([len(vectors[lo + i]) for i in place])
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                if len(at) > 1:
-                    label = links(np.frombuffer(b"".join(vectors[lo + place[i]] for i in at), "<f4").reshape(len(at), -1), threshold)
-                    linked = label != np.arange(len(at))
-                    a.append(own[at[label[linked]]]), b.append(own[at[linked]])
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
-
-    rows = nodes.select("node", "v").mapInArrow(spread, "bucket bigint, node bigint")
-    shared = rows.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).where("n > 1").select("bucket", "node")
-    placed = shared.join(nodes, "node").select("bucket", "node", "v").repartition("bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(verify, "a bigint, b bigint")
-
-
-def near_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL) -> DataFrame:
-    """(id, group_id, keep) of each row; group_id is the smallest id of the group."""
+        for rows in un.whole_units(batches, UNIT, 8192):
+            edge = un.edges_of(rows, UNIT)
+            node, side, table = np.asarray(rows["node"]), np.asarray(rows["side"]), np.asarray(rows["t"])
+            vectors, met = rows["v"].to_pylist(), np.frombuffer(b"".join(rows["met"].to_pylist()), U64).reshape(-1, tables)
+            lengths = np.array(list(map(len, vectors)))
+            out: list[list] = [[], [], []]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for length in np.unique(lengths[lo:hi]):
+                    at = lo + np.flatnonzero(lengths[lo:hi] == length)
+                    label, count = unit_links(np.frombuffer(b"".join(vectors[i] for i in at), "<f4").reshape(len(at), -1), met[at], int(table[lo]), side[at], threshold)
+                    some = np.flatnonzero((label != np.arange(len(at))) | (count > 0))
+                    for column, x in zip(out, (node[at[some]], node[at[label[some]]], count[some])):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "low", "n"])
+
+    held = written(nodes.select("node", "v", keyed("v").alias("met")), "keyed")
+    shared = held.select("node", "met")
+    counts = written(shared.mapInArrow(sizes, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1"), "buckets")
+    rows = shared.mapInArrow(spread, "bucket bigint, t int, node bigint").join(counts.select("bucket"), "bucket", "left_semi")
+    units = un.spread_units(rows, counts, ["bucket"], F.xxhash64("node"), most)
+    placed = units.join(held, "node").repartition(*UNIT).sortWithinPartitions(*UNIT, "side")
+    return placed.mapInArrow(verify, "node bigint, low bigint, n bigint")
+
+
+def near_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL, most: int = un.MOST) -> DataFrame:
+    """(id, group_id, keep, n_links) of each row; group_id is the smallest id of the group."""
 
     @F.arrow_udf("binary")
     def normal(vectors: pa.Array) -> pa.Array:
         return _unit_rows(vectors)
 
-    marks = written(rows.select(F.col(id_col).alias("id"), normal(F.col(vector).cast("array<double>")).alias("v")).withColumn("node", F.xxhash64("v")), "unit")
+    marks = rows.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("u"), normal(F.col(vector).cast("array<double>")).alias("v"))
+    marks = written(marks.withColumn("node", F.xxhash64("v")), "unit")
     nodes = written(marks.where("v IS NOT NULL").groupBy("node").agg(F.min("v").alias("v")), "nodes")
     k, tables = plan(nodes.count(), threshold, width, recall)
-    roots = components(near_edges(nodes, k, tables, threshold, width).distinct())
-    known = marks.where("v IS NOT NULL").select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    ordered = W.partitionBy("root").orderBy(F.col("id").asc_nulls_last())
-    grouped = known.select("id", F.first("id").over(ordered).alias("group_id"), (F.row_number().over(ordered) == 1).alias("keep"))
-    return grouped.unionByName(marks.where("v IS NULL").select("id", F.col("id").alias("group_id"), F.lit(True).alias("keep")))
+    found = written(near_links(nodes, k, tables, threshold, width, most=most), "links")
+    roots = components(found.where("node <> low").select("node", "low"), "node", "low")
+    degree = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    known = marks.where("v IS NOT NULL").select("id", "u", "node").join(roots, "node", "left").join(degree, "node", "left")
+    known = written(known.select("id", "u", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "grouped")
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "u")).alias("least"))
+    grouped = known.join(least, "root").select("id", F.col("least.id").alias("group_id"), (F.col("u") == F.col("least.u")).alias("keep"), "n_links")
+    return grouped.unionByName(marks.where("v IS NULL").select("id", F.col("id").alias("group_id"), F.lit(True).alias("keep"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def op6_embeddings(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return near_groups(rows).select(F.col("id").alias("vec_id"), "group_id", "keep")
+    return near_groups(rows).select(F.col("id").alias("vec_id"), "group_id", "keep", "n_links")

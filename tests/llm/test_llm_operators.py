@@ -1,8 +1,10 @@
 """Operators over small tables that hold nulls, blanks, repeats, long texts and clashing columns."""
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +60,67 @@ def test_simhash_recall_up_to_the_distance(spark):
         row[rng.choice(128, rng.integers(20, 27), replace=False)] ^= 1
     both = np.packbits(np.concatenate([near, far]), axis=1).view(np.int64).tolist()
     nodes = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(both)], "node BIGINT, h1 BIGINT, h2 BIGINT")
-    found = {(r.a, r.b) for r in simhash.near_pairs(nodes).distinct().collect()}
-    assert sum((k, 3000 + k) in found for k in range(3000)) >= 0.9 * 3000 and len(found) <= 3000
+    for most in (4096, 64):  # whole buckets, buckets in parts
+        rows = simhash.near_links(nodes, most=most).collect()
+        found = {tuple(sorted((r.node, r.low))) for r in rows if r.node != r.low}
+        assert sum((k, 3000 + k) in found for k in range(3000)) >= 0.9 * 3000 and len(found) <= 3000
+        assert sum(r.n for r in rows) == 2 * len(found)
+
+
+def _links_by_hand(n, near):
+    """(root, number of links) of each of n members, given the pairs that are near."""
+    root, count = list(range(n)), [0] * n
+    for i, j in near:
+        count[i], count[j] = count[i] + 1, count[j] + 1
+        lo, hi = sorted((root[i], root[j]))
+        if lo != hi:
+            root = [lo if r == hi else r for r in root]
+    return root, count
+
+
+@pytest.mark.parametrize("most", [4096, 32])
+def test_simhash_matches_brute_force(spark, most):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        words = [rng.choice("abcdefghij") * rng.randint(1, 3) + str(rng.randrange(50)) for _ in range(120)]
+        for _ in range(rng.choice([1, 1, 2, 12])):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.randrange(120)] = f"edit{rng.randrange(9)}"
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    h = simhash.fingerprints(pa.array(texts))[0]
+    nodes = sorted({tuple(x) for x in h.tolist()})
+    near = [(i, j) for i, j in itertools.combinations(range(len(nodes)), 2) if sum((a ^ b).bit_count() for a, b in zip(nodes[i], nodes[j])) <= 26]
+    root, count = _links_by_hand(len(nodes), near)
+    of = [nodes.index(tuple(x)) for x in h.tolist()]
+    least = {}
+    for k, x in enumerate(of):
+        least.setdefault(root[x], k)
+    got = {r.id: r for r in simhash.near_groups(df, most=most).collect()}  # so few nodes share one bucket
+    assert [(got[k].group_id, got[k].keep, got[k].n_links) for k in range(len(texts))] == [(least[root[x]], least[root[x]] == k, count[x]) for k, x in enumerate(of)]
+    assert len(near) > 100
+
+
+def test_many_near_equal_vectors(spark):
+    """One bucket of many vectors is compared in units: all are one group and every link is counted."""
+    x = np.ones((5000, 8)) + 1e-3 * np.random.default_rng(3).normal(size=(5000, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(4)
+    for most in (4096, 1000):
+        rows = embeddings.near_groups(df, most=most).collect()
+        assert {(r.group_id, r.n_links) for r in rows} == {(0, 4999)} and sum(r.keep for r in rows) == 1
+
+
+def test_embeddings_match_brute_force(spark):
+    x = np.random.default_rng(1).normal(size=(120, 16))
+    x = np.concatenate([x, x[:60] + 0.05 * np.random.default_rng(2).normal(size=(60, 16)), x[:9]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    u = (x / np.linalg.norm(x, axis=1)[:, None])[:180]
+    near = [(i, j) for i, j in itertools.combinations(range(180), 2) if u[i] @ u[j] >= 0.95]
+    root, count = _links_by_hand(180, near)
+    root, count = [*root, *root[:9]], [*count, *count[:9]]
+    got = {r.id: r for r in embeddings.near_groups(df, recall=0.9999).collect()}
+    assert [(got[k].group_id, got[k].n_links) for k in range(189)] == list(zip(root, count)) and len(near) > 40
 
 
 def test_suffix(docs, spark):
@@ -216,3 +277,79 @@ def test_packing_keeps_the_order_of_the_mixture(docs, spark):
     assert plain(windows) == plain(blocks) and len(blocks) > 12
     pieces = mixing.mix_texts(df)
     assert pieces.select("doc_id").distinct().count() == pieces.count()
+
+
+def _text(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) + rng.choice(["", "", ".", "\n"]) for _ in range(n))
+
+
+def test_packing_and_mixing_do_not_depend_on_how_ids_are_spread(spark):
+    rng = random.Random(12)
+    rows = [(k, _text(rng, rng.choice([3, 60, 300, 4000])), f"s{k % 3 % 2}") for k in range(90)]
+    near = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    far = spark.createDataFrame([(k * 1_000_003, t, s) for k, t, s in rows], "doc_id BIGINT, text STRING, source STRING")
+    named = spark.createDataFrame([(f"d{k:05d}", t, s) for k, t, s in rows], "doc_id STRING, text STRING, source STRING")
+    whole = [t for _, text, _ in rows for t in [*tk.encode([text])[0].tolist(), tk.END]]
+    found = []
+    for df in (near, far, named):
+        windows = sorted(packing.pack(df, window=512, run=4096).collect(), key=lambda r: (r.run, r.window))
+        assert [t for r in windows for t in r.tokens] == whole and max(r.run for r in windows) > 5
+        found.append([(r.run, r.window, r.padding, r.cut, tuple(r.tokens)) for r in windows])
+        found[-1] += sorted((r.shard, r.slot, r.source, r.block, tuple(r.tokens)) for r in mixing.mix(df, block=128, shard_slots=32).collect())
+    assert found[0] == found[1] == found[2]
+    undivided = packing.pack_run([r[0] for r in rows], [r[1] for r in rows], window=512)
+    runs = max(x[0] for x in found[0] if len(x) == 5 and isinstance(x[2], int)) + 1
+    assert sum(r[2] for r in found[0] if isinstance(r[2], int)) <= sum(undivided["padding"]) + 512 * runs
+
+
+def test_rows_without_an_id_and_repeated_rows_spread(spark):
+    rng = random.Random(13)
+    texts = [_text(rng, 100) for _ in range(60)]
+    rows = [(None, t) for t in texts] + [(5, texts[0])] * 60
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("source", F.lit(None).cast("string")).withColumn("part", F.lit(1)).withColumn("u", F.lit("x"))
+    windows = packing.pack(df, window=256, run=1024).collect()
+    assert len({r.run for r in windows}) > 10
+    spent = [t for r in windows for t in r.tokens]
+    assert sorted(spent) == sorted(t for _, text in rows for t in [*tk.encode([text])[0].tolist(), tk.END])
+    blocks = mixing.mix(df, block=64).collect()
+    assert sorted(t for r in blocks for t in r.tokens) == sorted(spent) and {r.source for r in blocks} == {None}
+
+
+def test_mixture_matches_a_plain_layout(spark):
+    """Each source gives each block once an epoch; slots, blocks and tokens are as laid out by hand."""
+    rng = random.Random(14)
+    rows = [(rng.randrange(10**9), _text(rng, rng.choice([5, 40, 900])), rng.choice(["a", "b", None])) for _ in range(80)]
+    rows += rows[:3] + [(None, "no id here", "a"), (7, "  ", "a"), (8, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    block, shard_slots, weights = 64, 16, {"a": 0.7, "b": 0.2, "": 0.1}
+    th = {r.text: r.th for r in df.select("text", F.xxhash64("text").alias("th")).collect()}
+    streams = {}
+    for s in ("a", "b", None):
+        own = sorted((r for r in rows if r[2] == s and r[1] and r[1].strip()), key=lambda r: (r[0] is None, r[0] or 0, th[r[1]]))
+        streams[s] = ([t for r in own for t in [*tk.encode([r[1]])[0].tolist(), tk.END]], [r[0] for r in own for _ in range(int(tk.encode([r[1]])[1][0]) + 1)])
+    out = mixing.mix(df, block=block, shard_slots=shard_slots, weights=weights).collect()
+    sizes = {s: -(-len(t) // block) for s, (t, _) in streams.items()}
+    slots = sum(sizes.values())
+    assert sorted((r.shard, r.slot) for r in out) == [(k // shard_slots, k % shard_slots) for k in range(slots)]
+    order = sorted(streams, key=lambda s: mixing.NONE if s is None else s)
+    drawn = {s: 0 for s in order}
+    for shard in range(-(-slots // shard_slots)):
+        counts = np.random.default_rng([mixing.SEED, shard]).multinomial(min(shard_slots, slots - shard * shard_slots), np.array([weights[s or ""] for s in order]))
+        for s, n in zip(order, counts):
+            assert sum(r.shard == shard and r.source == s for r in out) == n
+            drawn[s] += int(n)
+    for s in order:
+        given = [r.block for r in out if r.source == s]
+        times = [given.count(b) for b in range(sizes[s])]
+        assert len(given) == drawn[s] and max(times) - min(times) <= 1
+    for r in out:
+        tokens, ids = streams[r.source]
+        at = slice(r.block * block, (r.block + 1) * block)
+        assert r.tokens == tokens[at] and r.n_tokens == len(r.tokens)
+        assert [i for i, j in zip(r.doc_ids, [*r.doc_ids[1:], object()]) if i != j] == [i for i, j in zip(ids[at], [*ids[at][1:], object()]) if i != j]
+    with pytest.raises(ValueError):
+        mixing.MOST_SOURCES, most = 1, mixing.MOST_SOURCES
+        try:
+            mixing.mix(df)
+        finally:
+            mixing.MOST_SOURCES = most

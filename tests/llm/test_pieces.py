@@ -58,38 +58,33 @@ def test_quality_held_out_and_calibrated():
     assert quality.fit(["a"], [1]) is None
 
 
+def _roots(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
+    return root
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_bucket_pairs_match_brute_force(seed):
+def test_units_match_brute_force(seed):
     rng = np.random.default_rng(seed)
     k = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
-    k[1::3] = k[::3] ^ (np.uint64(1) << rng.integers(0, 40, (100, 1)).astype(np.uint64))
-    k = k[np.lexsort((k[:, 1], k[:, 0]))]
-    k[:, 0] = (k[:, 0] >> np.uint64(16)) | (np.uint64(7) << np.uint64(48))
-    k = k[np.lexsort((k[:, 1], k[:, 0]))]
-    i, j = simhash.bucket_pairs(np.zeros(300, np.int16), k[:, 0], k[:, 1], 1000, 26)
-    want = {(a, b) for a, b in itertools.combinations(range(300), 2) if int(np.bitwise_count(k[a] ^ k[b]).sum()) <= 26}
-    assert set(zip(i.tolist(), j.tolist())) == want
-
-
-def test_crowded_buckets_link_what_brute_force_links():
-    rng = np.random.default_rng(8)
-    k = rng.integers(0, 1 << 63, (600, 2)).astype(np.uint64)
-    for row in range(300, 600):  # copies of others with 26 bits changed, anywhere but in the bucket's own 16
-        flips = rng.choice(112, 26, replace=False)
-        k[row] = k[row - 300] ^ np.array([sum(1 << int(x) for x in flips if x < 48), sum(1 << int(x - 48) for x in flips if x >= 48)], np.uint64)
-    k[:, 0] &= np.uint64((1 << 48) - 1)
-    k = k[np.lexsort((k[:, 1], k[:, 0]))]
-
-    def roots(pairs):
-        root = list(range(600))
-        for a, b in pairs:
-            lo, hi = sorted((root[a], root[b]))
-            root = [lo if r == hi else r for r in root]
-        return root
-
-    want = [(a, b) for a, b in itertools.combinations(range(600), 2) if int(np.bitwise_count(k[a] ^ k[b]).sum()) <= 26]
-    i, j = simhash.bucket_pairs(np.zeros(600, np.int16), k[:, 0], k[:, 1], 128, 26)
-    assert len(want) >= 300 and roots(zip(i.tolist(), j.tolist())) == roots(want)
+    for row in range(150, 300):  # copies of others with up to 30 bits changed
+        flips = rng.choice(128, rng.integers(0, 31), replace=False)
+        k[row] = k[row - 150] ^ np.array([sum(1 << int(x) for x in flips if x < 64), sum(1 << int(x - 64) for x in flips if x >= 64)], np.uint64)
+    near = [(a, b) for a, b in itertools.combinations(range(300), 2) if int(np.bitwise_count(k[a] ^ k[b]).sum()) <= 26]
+    mask = simhash.masks(simhash.sampled(3, 4))
+    met = [{t for t in range(3) if not ((k[a] ^ k[b]) & mask[t]).any()} for a, b in near]
+    for small in (1000, 8):  # by gaps, by blocks
+        label, count = simhash.unit_links(k, np.zeros(300, int), np.array([0, 300]), np.zeros(300, int), mask, small=small)
+        assert label.tolist() == _roots(300, near) and count.tolist() == [sum(x in p for p in near) for x in range(300)]
+        _, count = simhash.unit_links(k, np.full(300, 2), np.array([0, 300]), np.zeros(300, int), mask, small=small)
+        assert count.sum() == 2 * sum(not m & {0, 1} for m in met)
+    side = (np.arange(300) >= 150).astype(int)
+    across = [(a, b) for a, b in near if a < 150 <= b]
+    label, count = simhash.unit_links(k, np.zeros(300, int), np.array([0, 300]), side, mask)
+    assert label.tolist() == _roots(300, across) and count.sum() == 2 * len(across) > 100
 
 
 def test_simhash_tables_follow_from_the_nodes():
