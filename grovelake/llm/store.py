@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where that is unset (tests), a folder made once a session."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, in local mode only, a folder made once a session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(spark, "_grovelake_shared", None)
         if named is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="grovelake-shared-")
             spark._grovelake_shared = named
             spark.sparkContext.setCheckpointDir(named)
