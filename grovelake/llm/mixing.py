@@ -76,7 +76,7 @@ def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, te
     @F.arrow_udf("struct<n: bigint, ids: binary>")
     def encoded(found: pa.Array) -> pa.Array:
         ids, counts = tk.encode(found, path)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(ids.astype(width), counts)], ["n", "ids"])
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(ids.astype(width), counts)], ["n", "ids"])
 
     @F.arrow_udf("struct<n: bigint, ends: binary>")
     def ended(found: pa.Array) -> pa.Array:
@@ -84,7 +84,7 @@ def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, te
         parts = np.split(ids, np.cumsum(counts)[:-1])
         ends = [tk.token_ends(x, t.encode(), path) for x, t in zip(parts, found.to_pylist())]
         flat = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(flat.astype("<i4"), counts)], ["n", "ends"])
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(flat.astype("<i4"), counts)], ["n", "ends"])
 
     rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(c) for c in rest)).alias("rest")).where(F.col("text").rlike(tb.SOLID.pattern))
     rows = rows.select("source", "id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), *(("text", "rest", ended("text").alias("e")) if texts else (encoded("text").alias("e"),)))
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     streams = _streams(placed, block)
     moved, begins, goes_on = _laid_out(rows, placed, total, streams)
     id_kind = rows.schema["id"].dataType
-    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("skip", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(id_kind)), T.StructField("tokens", T.BinaryType())])
+    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("block", T.LongType()), T.StructField("skip", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(id_kind)), T.StructField("tokens", T.ArrayType(T.BinaryType()))])
 
     def cut(batches):
         held, owners, size, place, now, part, id_type = [], [], 0, 0, None, None, None
@@ -161,13 +161,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
             edges = np.concatenate([[0], edges, [size]]).astype(np.int64)
             full = all_of_it or (place + size) % block == 0
             n = len(edges) - 1 if full else len(edges) - 2
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for a, b in zip(edges[:n].tolist(), edges[1 : n + 1].tolist()):
                 at = place + a
                 whole = at % block == 0 and (b - a == block or (ended and b == size))
-                for column, x in zip(out, (at // block, at % block, b - a, whole, owners[owner[a] : owner[b - 1] + 1], stream[a:b].astype(width).tobytes())):
+                for column, x in zip(out, (at // block, at % block, b - a, whole, owners[owner[a] : owner[b - 1] + 1])):
                     column.append(x)
             left = int(edges[n]) if not full else size
+            tokens = runs.packed(stream[:left].astype(width), np.diff(edges[: n + 1]))
             if left < size:
                 k = int(owner[left])
                 ends = np.cumsum([len(x) for x in held])
@@ -176,17 +177,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
                 held, owners = [], []
             place, size = place + left, size - left
             names = pa.array([now] * n, pa.string())
-            return pa.RecordBatch.from_arrays([names, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.list_(id_type)), pa.array(out[5], pa.binary())], names=kind.names)
+            return pa.RecordBatch.from_arrays([names, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.list_(id_type)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), tokens)], names=kind.names)
 
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for p, s, i, ids in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "source", "id", "ids"))):
+            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "source", "id", "ids")]
+            for p, s, i, ids in zip(*columns[:3], runs.unpacked(columns[3], width)):
                 if p != part or s != now:
                     if size:
                         yield blocks(True, p == part or not goes_on[part])
                     place = begins[p] if p != part else 0
                     part, now = p, s
-                held.append(np.append(np.frombuffer(ids, width).astype(np.int32), np.int32(tk.END)))
+                held.append(np.append(ids.astype(np.int32), np.int32(tk.END)))
                 owners.append(i)
                 size += len(held[-1])
                 if size >= 128 * block:
@@ -199,14 +201,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     slots = plan_slots(streams, weights, alpha, shard_slots, seed)
     ordered = F.array_sort(F.collect_list(F.struct("skip", "n_tokens", "doc_ids", "tokens")))
     split = pieces.where("NOT whole").groupBy("source", "block").agg(ordered.alias("parts"))  # a few at the ends of each part
-    joined = split.select("source", "block", F.aggregate("parts", F.lit(0), lambda acc, x: acc + x["n_tokens"]).alias("n_tokens"), F.flatten("parts.doc_ids").alias("doc_ids"), F.aggregate("parts", F.lit(bytearray()), lambda acc, x: F.concat(acc, x["tokens"])).alias("tokens"))
+    joined = split.select("source", "block", F.aggregate("parts", F.lit(0), lambda acc, x: acc + x["n_tokens"]).alias("n_tokens"), F.flatten("parts.doc_ids").alias("doc_ids"), F.flatten("parts.tokens").alias("tokens"))
     blocks = pieces.where("whole").select(*joined.columns).unionByName(joined)
 
     @F.arrow_udf("array<int>")
     def as_ints(raw: pa.Array) -> pa.Array:
-        each = raw.to_pylist()
-        edge = np.concatenate([[0], np.cumsum(list(map(len, each)))]) // np.dtype(width).itemsize
-        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), width).astype(np.int32)))
+        parts = runs.unpacked(raw.flatten().to_pylist(), width)  # a block in parts has them in order
+        edge = np.concatenate([[0], np.cumsum(list(map(len, parts)))])[np.asarray(raw.offsets) - raw.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int32()))
 
     found = slots.hint("merge").join(blocks, ["source", "block"])  # both grow with the corpus
     return found.select("shard", "slot", F.nullif("source", F.lit(NONE)).alias("source"), "block", "n_tokens", "doc_ids", as_ints("tokens").alias("tokens"))
@@ -230,11 +232,11 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
             column = lambda x: batch.column(batch.schema.get_field_index(x))  # noqa: B023, E731
             taken: list[int] = []
             out: list[list] = [[], [], [], []]
-            for row, (p, s, whole, ends, n) in enumerate(zip(*(column(x).to_pylist() for x in ("part", "source", "text", "ends", "n")))):
+            for row, (p, s, whole, n, ends) in enumerate(zip(*(column(x).to_pylist() for x in ("part", "source", "text", "n")), runs.unpacked(column("ends").to_pylist(), "<i4"))):
                 if p != part or s != now:
                     place = begins[p] if p != part else 0
                     part, now = p, s
-                raw, bounds = whole.encode(), np.append(0, np.frombuffer(ends, "<i4"))
+                raw, bounds = whole.encode(), np.append(0, ends)
                 lo = 0
                 while lo < n - 1:
                     hi = min(n - 1, (((place + lo) // block) + 1) * block - place)

@@ -145,7 +145,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
     @F.arrow_udf("struct<n: bigint, ids: binary, sentences: binary>")
     def encoded(texts: pa.Array) -> pa.Array:
         flat, counts, sentences, each = units(texts, path)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.binaries(flat.astype(width), counts), runs.binaries(sentences.astype("<i4"), each)], ["n", "ids", "sentences"])
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(flat.astype(width), counts), runs.packed(sentences.astype("<i4"), each)], ["n", "ids", "sentences"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(tb.SOLID.pattern))
     rows = rows.select("id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), encoded("text").alias("e")).select("id", "th", "u", "e.*")
@@ -170,7 +170,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
 
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for p, i, n, ids, sentences in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "id", "n", "ids", "sentences"))):
+            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("part", "id", "n", "ids", "sentences")]
+            for p, i, n, ids, sentences in zip(*columns[:3], runs.unpacked(columns[3], width), runs.unpacked(columns[4], "<i4")):
                 if p != part:
                     part, at = p, begins[p]
                 if at // run != now:
@@ -178,7 +179,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
                         yield flush()
                     now = at // run
                 at += n
-                for column, x in zip(held, (i, np.frombuffer(ids, width), np.frombuffer(sentences, "<i4"))):
+                for column, x in zip(held, (i, ids, sentences)):
                     column.append(x)
         if held[0]:
             yield flush()

@@ -10,6 +10,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,14 @@ def parted(rows: DataFrame, placed: DataFrame, total: int, keys: list[str], step
     return moved.sortWithinPartitions("part", *_order(keys)), starts
 
 
-def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """``flat`` cut into runs of ``counts`` elements, as binary values."""
-    edge = (np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+def packed(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``flat`` cut into runs of ``counts`` elements, each compressed: what is shuffled and written is smaller."""
+    squeeze, raw = zstandard.ZstdCompressor(level=1).compress, memoryview(np.ascontiguousarray(flat)).cast("B") if len(flat) else memoryview(b"")
+    edge = (np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize).tolist()
+    return pa.array([squeeze(raw[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())
+
+
+def unpacked(values: list[bytes], kind: str) -> list[np.ndarray]:
+    """What ``packed`` was given, a value at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(expand(x), kind) for x in values]
