@@ -1,15 +1,19 @@
 """Operator 8, personal data by a skip-chain conditional random field.
 
-Nodes are the words that hold a digit or ``@``; every other word is fixed as ``O`` by a hard constraint, so it
-enters as evidence and needs no message. Factors: each node's features (its shape, lengths, checksum, words
-before and after), transitions between neighbouring words, and skip edges that tie each node to the next one
-of its document with the same core (``same``) or with the same shape and beginning (``similar``), however far
+Nodes are the words that hold a digit or ``@``, the words of ``LETTERS`` bytes or more up to two places after a
+cue (``password``, ``token``, ``key`` and others of ``CUES``), and every other mention of those in the document;
+all other words are fixed as ``O`` by a hard constraint, so they enter as evidence and need no message: names and
+addresses written in letters alone are not found. Factors: each node's features (its shape, lengths, checksum,
+words before and after), transitions between neighbouring words, and skip edges that tie each node to the next one
+of its document with the same core (``same``) or with the same core but for digits (``similar``), however far
 away. Training maximises the pseudo-likelihood on text that a seeded generator writes with its labels (entities,
 their mentions again, and numbers that are not personal). Inference is loopy sum-product message passing over
-each whole document's graph until the messages settle, so that evidence at one mention labels them all.
+each whole document's graph until its own messages settle, at most as many rounds as twice its nodes and
+``ROUNDS``: a path through all nodes is shorter, so evidence at one mention reaches them all.
 
 Defined results: null text stays null, text without entities is returned as it was; each row is on its own,
-so repeated rows get equal results. Offsets count characters of the text.
+so repeated rows get equal results whatever else is in their batch. Offsets count characters of the text. A word
+of any length and of any characters is a word like others.
 """
 
 import random
@@ -30,6 +34,9 @@ WIDTH = 1 << 13
 ROUNDS, SETTLED, DAMPING = 40, 1e-4, 0.3
 STRIP_LEFT, STRIP_RIGHT = "\"'|*#$%&!<[{`", "\"'|*#$%&!,.;:?>]}`"
 RESULT = "struct<redacted: string, entities: array<struct<kind: string, start: int, end: int, p: double>>>"
+LETTERS = 6
+CUES = "password passwd passphrase pwd pass secret token key apikey api_key access_key secret_key private_key credential credentials".split()
+_DIGITS = frozenset("0123456789")
 _MARKED = np.zeros(256, bool)
 _MARKED[[*range(48, 58), 64]] = True
 
@@ -45,7 +52,6 @@ def core(word: str) -> tuple[int, int]:
     return (left, right) if right > left else (0, len(word))
 
 
-@lru_cache(maxsize=200_000)
 def _shape(word: str) -> str:
     long = re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", word)))
     return re.sub(r"(.)\1+", r"\1", long)
@@ -59,48 +65,58 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-@lru_cache(maxsize=200_000)
+def _number(word: str) -> bool:
+    return word.isascii() and word.isdigit()
+
+
 def _own_features(raw: str) -> tuple[str, ...]:
+    return _seen_features(raw) if len(raw) <= 256 else _features_of(raw)  # only short words are remembered
+
+
+def _features_of(raw: str) -> tuple[str, ...]:
     a, b = core(raw)
     word = raw[a:b]
-    digits = sum(c.isdigit() for c in word)
+    digits = sum(c in _DIGITS for c in word)
     octets = word.split(".")
     out = [
-        "s=" + _shape(word)[:40],
-        "long=" + re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", word))[:24],
+        "s=" + _shape(word),
+        "long=" + re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", word)),
         f"n={min(len(word), 50) // 3}",
         f"d={min(digits, 20)}",
-        f"alld={word.isdigit()}:{min(len(word), 20)}",
+        f"alld={_number(word)}:{min(len(word), 20)}",
         f"at={word.count('@')}:{'.' in word.rpartition('@')[2]}",
-        f"quad={len(octets) == 4 and all(o.isdigit() and int(o) < 256 for o in octets)}",
+        f"quad={len(octets) == 4 and all(_number(o) and len(o) < 4 and int(o) < 256 for o in octets)}",
         f"hex={bool(re.fullmatch('[0-9a-fA-F]+', word)) and digits < len(word)}:{min(len(word) // 8, 5)}",
         f"mixed={bool(re.search('[A-Za-z]', word)) and digits > 2}:{min(len(word) // 8, 5)}:{bool(re.search('[^A-Za-z0-9_-]', word))}",
         f"first={word[:1] if not word[:1].isalnum() else ''}",
         "iban=" + str(bool(re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{8,30}", word))),
         "ssn=" + str(bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", word))),
     ]
-    if word.isdigit() and 13 <= len(word) <= 19:
+    if _number(word) and 13 <= len(word) <= 19:
         out.append(f"luhn={_luhn(word)}")
     return tuple(out)
 
 
+_seen_features = lru_cache(maxsize=200_000)(_features_of)
+
+
 def features(words: list[str], k: int) -> list[int]:
     """Indices of one node's features."""
     names = list(_own_features(words[k]))
     for gap in (-2, -1, 1, 2):
         other = words[k + gap] if 0 <= k + gap < len(words) else "<edge>"
-        marked = any(c.isdigit() or c == "@" for c in other)
+        marked = any(c in _DIGITS or c == "@" for c in other)
         a, b = core(other)
-        names.append(f"{gap}=" + (_shape(other[a:b])[:16] if marked else "w"))
+        names.append(f"{gap}=" + (_shape(other[a:b]) if marked else "w"))
         if not marked and abs(gap) <= 2 and gap < 0:
-            names.append(f"w{gap}=" + other[a:b].lower()[:12])
+            names.append(f"w{gap}=" + other[a:b].lower() + (other[-1] if other[-1] in ":=" else ""))
     return [zlib.crc32(x.encode()) % WIDTH for x in names]
 
 
 def _keys(word: str) -> tuple[str, str]:
     a, b = core(word)
     body = word[a:b].casefold()
-    return body, _shape(word[a:b])[:16] + "|" + body[:5]
+    return body, re.sub(r"\d", "9", body)
 
 
 def skip_edges(docs: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,26 +148,29 @@ class Crf:
         out = np.add.reduceat(self.emit[flat], np.cumsum(n) - n, axis=0) if len(feats) else np.zeros((0, K))
         return out + free_left[:, None] * self.trans[0] + free_right[:, None] * self.trans[:, 0]
 
-    def marginals(self, unary: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Loopy sum-product; kind 2 is a transition, 0 and 1 are skip ties."""
+    def marginals(self, unary: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray, docs: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product; kind 2 is a transition, 0 and 1 are skip ties. Each of ``docs`` ends when its own messages settle."""
+        docs = np.zeros(len(unary), np.int64) if docs is None else docs
         ties = np.concatenate([self.skip, self.trans[None]])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         pot = np.concatenate([ties[kind], ties[kind].transpose(0, 2, 1)]) if len(a) else np.zeros((0, K, K))
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        msg = np.zeros((len(src), K))
-        belief = unary.copy()
-        for _ in range(ROUNDS if len(src) else 0):
-            x = (belief[src] - msg[back])[:, :, None] + pot
+        msg, belief = np.zeros((len(src), K)), unary.copy()
+        most = ROUNDS + 2 * np.bincount(docs, minlength=1)
+        open_, turn = np.arange(len(src)), 0
+        while len(open_):
+            x = (belief[src[open_]] - msg[back[open_]])[:, :, None] + pot[open_]
             top = x.max(1)
             new = np.log(np.exp(x - top[:, None]).sum(1)) + top
             new -= new.max(1, keepdims=True)
-            new = (1 - DAMPING) * new + DAMPING * msg
-            moved = np.abs(new - msg).max()
-            msg = new
-            belief = unary.copy()
-            np.add.at(belief, dst, msg)
-            if moved < SETTLED:
-                break
+            new = (1 - DAMPING) * new + DAMPING * msg[open_]
+            moved = np.zeros(len(most))
+            np.maximum.at(moved, docs[src[open_]], np.abs(new - msg[open_]).max(1))
+            msg[open_] = new
+            belief[dst[open_]] = unary[dst[open_]]
+            np.add.at(belief, dst[open_], new)
+            turn += 1
+            open_ = open_[((moved >= SETTLED) & (most > turn))[docs[src[open_]]]]
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -170,7 +189,8 @@ class Crf:
             p = np.exp(z - z.max(1, keepdims=True))
             g = (p / p.sum(1, keepdims=True) - eye[y]) / len(y)
             grads = [np.zeros_like(x) for x in params]
-            np.add.at(grads[0], flat, g[owner])
+            for k in range(K):
+                grads[0][:, k] = np.bincount(flat, g[owner, k], WIDTH)
             np.add.at(grads[1], prev, g)
             np.add.at(grads[1].T, nxt, g)
             np.add.at(grads[2], (kind, y[a]), g[b])
@@ -204,7 +224,12 @@ def written_text(rng: random.Random) -> tuple[list[str], list[int]]:
             words = rng.choice([[f"+{rng.randint(1, 99)}", f"({area})", tail], [f"+1", f"({area})", tail], [f"({area})", tail], [f"{area}-{tail}"], [f"+{rng.randint(1, 99)}", area, digits(3), digits(4)]])
         elif kind == "SECRET":
             key = rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64]))), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + digits(1), "ghp_" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(35)) + digits(1), "sk-" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(40))])
+            if rng.random() < 0.25:  # letters only: nothing but the cue before it tells
+                key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ_!") for _ in range(rng.randint(7, 20))).strip("!")
+                return [rng.choice(["password:", "passwd:", "token=", "secret:", "key:", "pwd=", "api_key="]), rng.choice([key, f'"{key}"'])], 0
             words = [rng.choice([key, f'"{key}"', f"'{key}'"])]
+            if rng.random() < 0.15:
+                words = [rng.choice(["password", "passwd", "token", "secret", "key", "api_key"]) + rng.choice("=:") + key[rng.randint(0, 20) :]]
         elif kind == "SSN":
             words = [f"{digits(3)}-{digits(2)}-{digits(4)}"]
         else:
@@ -223,15 +248,26 @@ def written_text(rng: random.Random) -> tuple[list[str], list[int]]:
         for _ in range(rng.randint(0, 7)):
             words.append(word() + rng.choice(["", "", "", ".", ","]))
             labels.append(0)
+        if rng.random() < 0.1:  # a cue that nothing secret follows
+            words += [rng.choice(CUES), word(), word()]
+            labels += [0, 0, 0]
         if rng.random() < 0.45:
             words.append(plain() + rng.choice(["", "", ".", ","]))
             labels.append(0)
         else:
             body, kind = rng.choice(known) if known and rng.random() < 0.3 else entity()
-            if (body, kind) in known and rng.random() < 0.3:  # a mention that differs at its end
+            if (body, kind) in known and any(c in _DIGITS for c in body[-1]) and rng.random() < 0.3:  # a mention that differs at its end
                 body = [*body[:-1], body[-1][:-1] + rng.choice("0123456789")]
+            if not kind:  # a cue and a secret in letters; later mentions have no cue
+                words.append(body[0])
+                labels.append(0)
+                body, kind = body[1:], KINDS.index("SECRET")
+                known.append((body, kind))
+                words.append(body[0])
+                labels.append(kind)
+                continue
             known.append((body, kind))
-            if kind == KINDS.index("SECRET") and rng.random() < 0.7:
+            if kind == KINDS.index("SECRET") and not re.search("[=:]", body[0]) and any(c in _DIGITS for c in body[0]) and rng.random() < 0.7:
                 lead = rng.choice([["token", "="], ["key", "="], ["password:"], ["secret", "="], ["api_key", "="]])
                 words += lead
                 labels += [0] * len(lead)
@@ -241,13 +277,41 @@ def written_text(rng: random.Random) -> tuple[list[str], list[int]]:
     return words, labels
 
 
+def _hashes_of(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = tb.words(data, np.array([0, len(data)]))
+    return tb.word_hashes(data, starts, ends)
+
+
+_CUE = np.unique(_hashes_of([*CUES, *(c + "=" for c in CUES)]))
+
+
+def nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the words that are nodes."""
+    marks = np.concatenate([[0], np.cumsum(_MARKED[data])])
+    marked = marks[ends] > marks[starts]
+    h, size = tb.word_hashes(data, starts, ends), ends - starts
+    doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    cue = np.flatnonzero(np.isin(h, _CUE))
+    near = np.concatenate([cue + 1, cue + 2])
+    of = np.concatenate([cue, cue])
+    ok = near < len(starts)
+    near, of = near[ok], of[ok]
+    near = near[(doc[near] == doc[of]) & (size[near] >= LETTERS) & ~np.isin(near, cue)]
+    if len(near):  # all mentions of a word that follows a cue, within its document
+        here = tb.mix(h ^ tb.mix(doc.astype(np.uint64)))
+        marked |= np.isin(here, here[near]) & (size >= LETTERS)
+    return np.flatnonzero(marked)
+
+
 def graph(words_of: list[list[str]]) -> tuple:
     """Nodes and edges of documents: (document, word place, features, left fixed, right fixed, a, b, kind)."""
     docs, places, feats, node_words = [], [], [], []
     for d, words in enumerate(words_of):
-        for k, word in enumerate(words):
-            if any("0" <= c <= "9" or c == "@" for c in word):
-                docs.append(d), places.append(k), feats.append(features(words, k)), node_words.append(word)
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        starts, ends, first = tb.words(data, np.array([0, len(data)]))
+        for k in nodes(data, starts, ends, first).tolist():
+            docs.append(d), places.append(k), feats.append(features(words, k)), node_words.append(words[k])
     return _edges(np.array(docs, np.int64), np.array(places, np.int64), feats, node_words)
 
 
@@ -283,8 +347,7 @@ def find_entities(model: Crf, texts: pa.Array) -> list[list[tuple[str, int, int,
         starts, ends, first = tb.words(data, offs)
         if not len(starts):
             continue
-        marks = np.concatenate([[0], np.cumsum(_MARKED[data])])
-        node = np.flatnonzero(marks[ends] > marks[starts])
+        node = nodes(data, starts, ends, first)
         if not len(node):
             continue
         raw = data.tobytes()
@@ -296,7 +359,7 @@ def find_entities(model: Crf, texts: pa.Array) -> list[list[tuple[str, int, int,
             feats.append(features(around, w - lo))
             node_words.append(around[w - lo])
         docs, places, feats, left, right, a, b, kind = _edges(docs, node, feats, node_words)
-        p = model.marginals(model.unary(feats, left, right), a, b, kind)
+        p = model.marginals(model.unary(feats, left, right), a, b, kind, docs)
         label = p.argmax(1)
         at = 0
         while at < len(node):
@@ -345,9 +408,16 @@ def pii(text: Column, spark) -> Column:
     return found(text)
 
 
+def _beside(docs: DataFrame, text: str) -> DataFrame:
+    """(row, p): the columns of ``docs``, whatever their names, and what is found in the text."""
+    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), pii(F.col(text), docs.sparkSession).alias("p"))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii_entities`` and ``pii_text`` after its own columns."""
-    return docs.withColumn("__pii", pii(F.col(text), docs.sparkSession)).withColumns({"pii_entities": F.col("__pii.entities"), "pii_text": F.coalesce("__pii.redacted", text)}).drop("__pii")
+    """``docs`` with ``pii_entities`` and ``pii_text`` after its own columns; columns of those names are replaced."""
+    row = lambda c: F.col("row").getField(c)
+    kept = [row(c).alias(c) for c in docs.columns if c not in ("pii_entities", "pii_text")]
+    return _beside(docs, text).select(*kept, F.col("p.entities").alias("pii_entities"), F.coalesce("p.redacted", row(text)).alias("pii_text"))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
@@ -356,6 +426,7 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with entities replaced by their kind; n_chars follows the text."""
-    out = redact(docs)
-    return out.withColumns({"text": F.col("pii_text"), "n_chars": F.length("pii_text").cast("bigint")}).select(*docs.columns)
+    """Documents with entities replaced by their kind; n_chars follows the text, other columns stay."""
+    clean = F.coalesce("p.redacted", F.col("row").getField("text"))
+    new = {"text": clean, "n_chars": F.length(clean).cast("bigint")}
+    return _beside(docs, "text").select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
