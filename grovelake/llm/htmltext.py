@@ -3,17 +3,18 @@
 Each page is parsed to elements; an element's hash covers its tag, its text with white space drawn together
 and its children, in order, without attributes, comments, scripts and styles. Spark counts, per host, on how
 many different pages (by the hash of the whole page, so that copies of one page count once) each subtree of at
-least ``MIN_CHARS`` characters occurs. Those on at least ``MIN_PAGES`` pages and ``SHARE`` of the host's pages are
-the host's template. A second pass deletes them and returns the text that is left, blocks on lines of their own.
+least ``MIN_CHARS`` characters occurs. Those on at least ``MIN_PAGES`` pages are the host's template, however large
+the host is. A second pass deletes them and returns the text that is left, blocks on lines of their own.
 
 The template's hashes reach the second pass as one sorted array, broadcast, where they take at most
-``broadcast_bytes``; beyond that they are collected per host and joined to the pages by host. Both ways give the
-same rows.
+``broadcast_bytes``; beyond that each page's own hashes are joined with them. Both ways give the same rows.
 
 Defined results: null html gives null text, html without text an empty one. Pages without a host (null or
-relative url) are one host. Repeated rows each get their own result. Unclosed elements end with their parent,
-a ``p``, ``li``, ``tr``, ``td``, ``th``, ``dt``, ``dd`` or ``option`` also where the next one begins; end tags of
-what is not open are skipped; an unclosed comment or script runs to the end of the page.
+relative url) are one host. Repeated rows each get their own result. Quoted attributes may hold ``>``. Unclosed
+elements end with their parent, a ``p``, ``li``, ``tr``, ``td``, ``th``, ``dt``, ``dd`` or ``option`` also where the next one
+begins; a ``head`` also where its first text or element of the body begins, a ``select`` at the next block or ``select``.
+An ``svg``, ``iframe``, ``noscript`` or ``select`` that no end tag follows hides nothing. End tags of what is not open
+are skipped; an unclosed comment or script runs to the end of the page.
 """
 
 import html as entities
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_PAGES, SHARE, MIN_CHARS, BROADCAST_BYTES = 5, 0.01, 16, 64 << 20
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>", re.S | re.I)
+MIN_PAGES, MIN_CHARS, BROADCAST_BYTES = 5, 16, 64 << 20
+_IN_TAG = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+>"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template)\b{_IN_TAG}.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_IN_TAG}", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 SKIPPED = frozenset(["head", "noscript", "svg", "iframe", "select"])
+IN_HEAD = frozenset("title base link meta style script template noscript html head".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPE = frozenset("html body div table ul ol dl article section nav aside main header footer td th form select".split())
@@ -37,10 +40,10 @@ hash64 = xxhash.xxh3_64_intdigest
 
 
 class _Open:
-    __slots__ = ("tag", "parts", "chars", "begin")
+    __slots__ = ("tag", "parts", "chars", "begin", "hides")
 
-    def __init__(self, tag: str, begin: int) -> None:
-        self.tag, self.parts, self.chars, self.begin = tag, [tag.encode()], 0, begin
+    def __init__(self, tag: str, begin: int, hides: bool = False) -> None:
+        self.tag, self.parts, self.chars, self.begin, self.hides = tag, [tag.encode()], 0, begin, hides
 
 
 def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
@@ -50,6 +53,15 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
     root = _Open("", 0)
     stack, count, hidden = [root], {}, 0
     here, at = root, 0
+    low, last = page.lower(), {}
+
+    def hides(tag: str, after: int) -> bool:
+        """Whether an element keeps its text back: not if no end tag follows it, but for a head, which needs none."""
+        if tag not in SKIPPED:
+            return False
+        if tag not in last:
+            last[tag] = low.rfind("</" + tag)
+        return tag == "head" or last[tag] >= after
 
     def close() -> None:
         nonlocal here, hidden
@@ -61,9 +73,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
             elements.append((key, done.begin, len(pieces), done.chars))
         here.parts.append(b"\x02" + key.to_bytes(8, "little"))
         here.chars += done.chars
-        if done.tag in SKIPPED:
-            hidden -= 1
-        elif done.tag not in INLINE:
+        hidden -= done.hides
+        if not done.hides and done.tag not in INLINE:
             pieces.append("\n")
 
     def close_to(tags: tuple, scope: frozenset) -> None:
@@ -76,6 +87,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
                 return
 
     for token in TOKEN.finditer(page):
+        if here.tag == "head" and token.start() > at and not page[at : token.start()].isspace():
+            close()
         if token.start() > at and not hidden:
             text = page[at : token.start()]
             words = (entities.unescape(text) if "&" in text else text).split()
@@ -99,6 +112,10 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
                 while len(stack) > k:
                     close()
             continue
+        if tag not in IN_HEAD and count.get("head"):
+            close_to(("head",), frozenset())
+        if count.get("select") and (tag == "select" or tag in CLOSES_P) and tag != "hr":
+            close_to(("select",), frozenset())
         if tag in CLOSES_P and count.get("p"):
             close_to(("p",), SCOPE)
         if tag in SIBLINGS and any(count.get(t) for t in SIBLINGS[tag]):
@@ -109,10 +126,12 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
             continue
         if tag not in INLINE and pieces and pieces[-1] != "\n":
             pieces.append("\n")
-        here = _Open(tag, len(pieces))
+        here = _Open(tag, len(pieces), hides(tag, at))
         stack.append(here)
         count[tag] = count.get(tag, 0) + 1
-        hidden += tag in SKIPPED
+        hidden += here.hides
+    if here.tag == "head" and not page[at:].isspace():
+        close()
     if at < len(page) and not hidden:
         words = entities.unescape(page[at:]).split()
         if words:
@@ -160,35 +179,39 @@ def _host_hash(host: str) -> int:
     return hash64(host.encode())
 
 
-def template_keys(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host_key, key): the template subtrees of each host; host_key is the host's hash."""
+def _subtrees(pages: DataFrame, mark: str) -> DataFrame:
+    """(host_key, key, mark) of the subtrees of (host, html, mark) that are long enough; of a page ``mark`` is its own hash if there is none."""
 
     def subtrees(batches):
         for batch in batches:
-            hosts, keys, roots = [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, keys, marks = [], [], []
+            given = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for host, page, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), given):
                 _, elements, root = parse(page)
                 own = np.array(list({e[0] for e in elements if e[3] >= MIN_CHARS}), np.uint64)
                 h = _host_hash(host)
-                keys.append(np.append(_key(h, own), np.uint64(0)))  # key 0 counts the pages themselves
-                hosts.append(np.full(len(own) + 1, h, np.uint64))
-                roots.append(np.full(len(own) + 1, root, np.uint64))
+                keys.append(_key(h, own))
+                hosts.append(np.full(len(own), h, np.uint64))
+                marks.append(np.full(len(own), root if m is None else m, np.uint64))
             if hosts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (hosts, keys, roots)], names=["host_key", "key", "page"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (hosts, keys, marks)], names=["host_key", "key", mark])
+
+    return pages.mapInArrow(subtrees, f"host_key bigint, key bigint, {mark} bigint")
 
+
+def template_keys(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host_key, key): the template subtrees of each host; host_key is the host's hash."""
     rows = pages.where(F.col(html).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    found = rows.mapInArrow(subtrees, "host_key bigint, key bigint, page bigint")
-    counted = found.groupBy("host_key", "key").agg(F.countDistinct("page").alias("n"))
-    pages_of = counted.where("key = 0").select("host_key", F.greatest(F.lit(min_pages), F.ceil(F.col("n") * share)).alias("least"))
-    return counted.where(f"key <> 0 AND n >= {min_pages}").join(pages_of, "host_key").where("n >= least").select("host_key", "key")
+    counted = _subtrees(rows, "page").groupBy("host_key", "key").agg(F.countDistinct("page").alias("n"))
+    return counted.where(F.col("n") >= min_pages).select("host_key", "key")
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, share: float = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``host``, ``main_text`` and ``removed``; columns of those names are replaced."""
     from .store import written
 
     spark = pages.sparkSession
-    templates = written(template_keys(pages, html, url, min_pages, share), "templates")
+    templates = written(template_keys(pages, html, url, min_pages), "templates")
     names = [c for c in pages.columns if c not in ("host", "main_text", "removed")]
     kind = "struct<text: string, removed: int>"
 
@@ -196,7 +219,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
         texts, removed = zip(*rows) if rows else ((), ())
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["text", "removed"])
 
-    rows = pages.select(*names, host_of(F.col(url)).alias("host"))
+    rows = pages.select(F.struct(*(F.col(c) for c in names)).alias("row"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     if templates.count() * 8 <= broadcast_bytes:
         known = np.sort(np.asarray(templates.select("key").toArrow()["key"]).astype(np.int64).view(np.uint64))
         shared = spark.sparkContext.broadcast(known)
@@ -215,13 +238,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
                 out.append((None, 0) if page is None else without(page, known_here))
             return result(out)
 
-        out = rows.withColumn("__out", cleaned(F.col("host"), F.col(html)))
+        out = rows.withColumn("out", cleaned(F.col("host"), F.col("html")))
     else:
 
-        @F.arrow_udf("bigint")
-        def hashed(hosts: pa.Array) -> pa.Array:
-            return pa.array(np.array([_host_hash(h) for h in hosts.to_pylist()], np.uint64).view(np.int64))
-
         @F.arrow_udf(kind)
         def cleaned(hosts: pa.Array, htmls: pa.Array, lists: pa.Array) -> pa.Array:
             out = []
@@ -231,10 +250,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
                 out.append((None, 0) if page is None else without(page, lambda x, h=h, table=table: np.isin(_key(h, x), table)))
             return result(out)
 
-        per_host = templates.groupBy("host_key").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host_key", "__host_key")
-        joined = rows.withColumn("__host_key", hashed(F.col("host"))).join(per_host, "__host_key", "left")
-        out = joined.withColumn("__out", cleaned(F.col("host"), F.col(html), F.col("__keys")))
-    return out.select(*names, "host", F.col("__out.text").alias("main_text"), F.col("__out.removed").alias("removed"))
+        held = written(rows.withColumn("u", F.monotonically_increasing_id()), "pages")
+        own = _subtrees(held.where("html IS NOT NULL").select("host", "html", "u"), "u").join(templates, ["host_key", "key"], "left_semi")
+        per_page = own.groupBy("u").agg(F.collect_list("key").alias("keys"))  # no more than the page's own subtrees
+        out = held.join(per_page, "u", "left").withColumn("out", cleaned(F.col("host"), F.col("html"), F.col("keys")))
+    return out.select("row.*", "host", F.col("out.text").alias("main_text"), F.col("out.removed").alias("removed"))
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:
