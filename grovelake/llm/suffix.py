@@ -15,7 +15,8 @@ stop at LENGTH: ends without a value share at least LENGTH words with their neig
 
 Defined results: null, blank and short texts have no run. Rows of one id are one document: what repeats only
 within it (or between rows of equal id) is not reported. Rows without an id are one document of null id.
-Spans that overlap or touch are merged.
+Spans that overlap or touch are merged; rows that repeat an id and its text have one. Ids may be of any type: those
+that are no integers are told apart by a 64-bit hash. Other columns are not read, whatever their names.
 """
 
 import numpy as np
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from . import textbuf as tb
-from .store import written
+from .store import drop_written, written
 
 LENGTH, GRAM = 50, 16
 NULL_ID = -(2**63)
@@ -204,25 +206,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         anchor, ctx = np.asarray(rows["anchor"]), np.asarray(rows["ctx"])
         return pa.RecordBatch.from_arrays([pa.array(anchor[part[head]]), pa.array(ctx[part[head]]), pa.array(off[head].astype(np.int32)), pa.array(run.astype(np.int32))], schema=FOUND_OUT)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("text IS NOT NULL")
-    all_anchors = rows.mapInArrow(anchors, ANCHORS)
-    by, same = W.partitionBy("anchor"), W.partitionBy("anchor", "ctx")
-    many = all_anchors.withColumns({"a0": F.min("doc").over(by), "a1": F.max("doc").over(by)}).where("a0 <> a1").drop("a0", "a1")
-    marked = many.withColumns({"least": F.min("doc").over(same), "most": F.max("doc").over(same), "nth": F.row_number().over(same.orderBy("doc", "th", "start"))})
-    marked = marked.withColumn("any_open", F.max(F.col("least") == F.col("most")).over(by))
-    shared = written(marked, "anchors")
-    needed = shared.where("any_open AND nth = 1").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "ctx", "start", "n", "least", "most")).alias("list"))
+    own = F.col(id_col) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+    rows = docs.select(F.coalesce(own.cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("text IS NOT NULL")
+    ids = rows.select("doc", "th", "id").distinct()
+    rows = rows.select("doc", "th", "text")
+    all_anchors = written(rows.mapInArrow(anchors, ANCHORS), "all-anchors")
+    many = all_anchors.groupBy("anchor").agg(F.min("doc").alias("a0"), F.max("doc").alias("a1")).where("a0 <> a1").select("anchor")
+    shared = written(all_anchors.join(many, "anchor"), "anchors")
+    drop_written(all_anchors)
+    head = F.min(F.struct("doc", "th", "start", "n")).alias("head")
+    of_context = written(shared.groupBy("anchor", "ctx").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), head), "contexts")
+    open_ = of_context.where("least = most").select("anchor").distinct()  # all contexts of an anchor with such a one are compared
+    in_list = F.struct("anchor", "ctx", F.col("head.start").alias("start"), F.col("head.n").alias("n"), "least", "most")
+    needed = of_context.join(open_, "anchor", "left_semi").groupBy(F.col("head.doc").alias("doc"), F.col("head.th").alias("th")).agg(F.collect_list(in_list).alias("list"))
+    shared = shared.join(of_context.select("anchor", "ctx", "least", "most"), ["anchor", "ctx"])
     texts = rows.join(needed, ["doc", "th"]).select("text", "list").mapInArrow(content, CONTENT)
     placed = texts.repartition("anchor").sortWithinPartitions("anchor")
     part = placed.mapInArrow(search, FOUND)
     opened = shared.where("least = most").join(part, ["anchor", "ctx"]).select("doc", "th", (F.col("start") + F.col("off")).alias("lo"), (F.col("start") + F.col("off") + F.col("run") + (length - 1)).alias("hi"))
     whole = shared.where("least <> most").select("doc", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (length - 1)).alias("hi"))
-    spans = opened.union(whole)
+    spans = opened.union(whole).distinct()
     before = W.partitionBy("doc", "th").orderBy("lo", "hi")
     islands = spans.withColumn("reach", F.max("hi").over(before.rowsBetween(W.unboundedPreceding, -1)))
     numbered = islands.withColumn("island", F.sum(F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1)).over(before.rowsBetween(W.unboundedPreceding, 0)))
     merged = numbered.groupBy("doc", "th", "island").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word"))
-    return merged.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "th", "start_word", "end_word")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return merged.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "th", "start_word", "end_word")
+    return merged.join(ids, ["doc", "th"]).select(F.col("id").alias("doc_id"), "th", "start_word", "end_word")
 
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
