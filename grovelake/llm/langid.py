@@ -4,11 +4,12 @@ A text is cut into windows of ``WINDOW`` bytes (the last is padded), ASCII and L
 whatever is no letter set to 0. Bytes are embedded, convolved with filters of several ``WIDTHS``, each filter
 is pooled to its maximum over the window, and a softmax layer gives the window's probabilities. A text's
 probabilities are the mean over all its windows, weighted by their letters. The network is trained in numpy
-with Adam on windows of at most ``max_labelled`` labelled rows, those of the smallest hashed keys.
+with Adam on all windows of at most ``max_labelled`` labelled rows, those of the smallest hashed keys.
 
 Defined results: a null text and one without a letter have no language: ``lang_pred`` and ``lang_p`` are null.
 Of equal probabilities the language that sorts first wins. Without labelled rows every language is null; with
-one label only, that label is every text's. Each row is on its own, so repeated rows get equal results.
+one label only, that label is every text's. The rows to train on are chosen by a hash of id and text, so null,
+equal and repeated ids don't add any. Each row is on its own, so repeated rows get equal results.
 """
 
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textbuf as tb
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (3, 4, 5), 16, 6
-MAX_LABELLED, WINDOWS_EACH = 4000, 6
+MAX_LABELLED = 4000
 CHUNK = 64  #: windows that are convolved at once
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -145,7 +146,9 @@ def fit(seen: np.ndarray, labels: list[str], epochs: int = 4, batch: int = 128,
                 held = params[0][picked].reshape(len(ids), FILTERS, -1)
                 grads[1 + k] = np.einsum("bf,bfk->kf", g, held)
                 into = g[:, :, None] * params[1 + k].T[None]
-                np.add.at(grads[0], picked.ravel(), into.reshape(-1, EMBED))
+                flat = into.reshape(-1, EMBED)
+                for e in range(EMBED):
+                    grads[0][:, e] += np.bincount(picked.ravel(), flat[:, e], 256)
             grads[0][0] = 0
             step += 1
             for k, x_ in enumerate(params):
@@ -155,32 +158,34 @@ def fit(seen: np.ndarray, labels: list[str], epochs: int = 4, batch: int = 128,
     return ByteNet(languages, params[0], params[1 : 1 + n_w], params[1 + n_w : 1 + 2 * n_w], params[-2], params[-1])
 
 
-def _draw(texts: pa.Array, each: int) -> pa.Array:
-    """Up to ``each`` windows of every text, spread over all of it."""
+def _all_windows(texts: pa.Array) -> pa.Array:
+    """The windows of every text that hold a letter."""
     out: list = []
     for _, data, offs in tb.slices(texts):
         seen, first = windows(data, offs)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            out.append([seen[i].tobytes() for i in np.unique(np.linspace(a, b - 1, each).round().astype(int)) if seen[i].any()] if b > a else [])
+        some = seen.any(1)
+        out.extend([seen[i].tobytes() for i in range(a, b) if some[i]] for a, b in zip(first[:-1].tolist(), first[1:].tolist()))
     return pa.array(out, pa.list_(pa.binary()))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, each: int = WINDOWS_EACH) -> ByteNet | None:
-    """Trained on windows of at most ``max_labelled`` rows with a language and a text."""
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    labelled = docs.where(F.col(lang).isNotNull())
-    chosen = [r.h for r in labelled.select(key.alias("h")).orderBy("h").limit(max_labelled).collect()]
-    if not chosen:
-        return None
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED) -> ByteNet | None:
+    """Trained on all windows of at most ``max_labelled`` rows with a language and a text."""
 
     @F.arrow_udf("array<binary>")
     def drawn(texts: pa.Array) -> pa.Array:
-        return _draw(texts, each)
+        return _all_windows(texts)
 
-    rows = labelled.where(key <= chosen[-1]).select(key.alias("h"), F.col(lang).cast("string").alias("y"), drawn(F.col(text)).alias("w"))
-    found = sorted((r.h, r.y, w) for r in rows.collect() for w in r.w)
-    seen = np.frombuffer(b"".join(bytes(w) for _, _, w in found), np.uint8).reshape(-1, WINDOW)
-    return fit(seen, [y for _, y, _ in found])
+    rows = docs.select(F.col(lang).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).where("y IS NOT NULL AND t IS NOT NULL")
+    n = rows.count()
+    if not n:
+        return None
+    least = min((1 << 63) - 1, -(1 << 63) + int(2 * max_labelled / n * (1 << 64)))  # twice as many rows as are wanted are sorted, not all
+    first = lambda near: near.orderBy("h", "y").limit(max_labelled).select("h", "y", drawn("t").alias("w")).collect()
+    chosen = first(rows.where(F.col("h") <= least))
+    if len(chosen) < min(n, max_labelled):  # few different rows
+        chosen = first(rows)
+    found = sorted((r.h, r.y, bytes(w)) for r in chosen for w in r.w)
+    return fit(np.frombuffer(b"".join(w for _, _, w in found), np.uint8).reshape(-1, WINDOW), [y for _, y, _ in found])
 
 
 def language(net: ByteNet, text: Column, spark: SparkSession) -> Column:
