@@ -1,14 +1,16 @@
 """Operator 3, quality rules: hashed word and character n-gram logistic regression.
 
-Word 1- and 2-grams and byte 4-grams are hashed into one weight table each; a text's logit is the mean
+Word 1- and 2-grams and character 4-grams are hashed into one weight table each; a text's logit is the mean
 weight of each kind of gram (drawn to 0 where there are few) plus a bias, so that texts of every length are on one scale. The model is fitted
 by Adam on a bounded sample of labelled rows (``max_labelled``), then calibrated by Platt's method on a part
-that it was not fitted on. Whole texts are scored in Arrow batches; fixed thresholds give the decision.
+that it was not fitted on, a fifth of each class; a class of one row is fitted on only and leaves the model
+uncalibrated. Whole texts are scored in Arrow batches; fixed thresholds give the decision.
 
 Defined results: a null or blank text has no evidence, its probability is null and its decision ``reject``;
 where there are no labelled rows of both classes, every probability is null and every decision of a text with
-words is ``keep``. Repeated rows each get their own result. Labels of a document that disagree count each.
-Columns of the input that are not used pass through, whatever their names.
+words is ``keep``. Repeated rows each get their own result. Labels of a document that disagree count each, at most
+``max_labelled`` rows in all however often ids repeat. Columns ``quality_p`` and ``quality_decision`` of the input
+are replaced by ``score_quality``; the pipeline's stage hands on all columns as they came.
 """
 
 from dataclasses import dataclass
@@ -37,7 +39,7 @@ class QualityModel:
 
 
 def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of word grams, with lo and hi of each text; the same of byte grams."""
+    """Indices of word grams, with lo and hi of each text; the same of character grams."""
     starts, ends, first = tb.words(data, offs)
     h = tb.word_hashes(data, starts, ends)
     pair = tb.mix(np.where(h[:-1] == h[1:], SAME, h[:-1] * np.uint64(31) + h[1:])) if len(h) > 1 else h[:0]
@@ -49,9 +51,11 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         index[1:-1:2] = (pair >> np.uint64(64 - BITS)).astype(np.int64)
         over = inner[(inner > 0) & (inner < len(h))] - 1  # a pair across two texts counts as its first word
         index[2 * over + 1] = index[2 * over]
-    grams = tb.byte_grams(data, 4)
-    chars = ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
-    return index, 2 * first[:-1], 2 * first[1:], chars, offs[:-1], offs[1:] - 3
+    begin = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+    edge = np.append(begin, len(data))
+    grams = tb.word_hashes(data, edge[:-4], edge[4:], folded=False)
+    own = np.searchsorted(begin, offs)
+    return index, 2 * first[:-1], 2 * first[1:], (grams >> np.uint64(64 - BITS)).astype(np.int64), own[:-1], np.maximum(own[1:] - 3, own[:-1])
 
 
 def _logits(model: QualityModel, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +85,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
     moment = [np.zeros(size, np.float32) for _ in range(2)]
     second = [np.zeros(size, np.float32) for _ in range(2)]
     order = np.random.default_rng(seed).permutation(len(y))
-    held, used = order[::5], np.array([k for i, k in enumerate(order) if i % 5])
-    if len(set(y[used])) < 2:
-        used = order
+    classes = [order[y[order] == k] for k in (0, 1)]
+    n_held = [max(1, len(c) // 5) if len(c) > 1 else 0 for c in classes]
+    held, used = (np.concatenate([c[part(n)] for c, n in zip(classes, n_held)]) for part in (lambda n: slice(0, n), lambda n: slice(n, None)))
     bias, step = 0.0, 0
     rng = np.random.default_rng(seed + 1)
     for _ in range(epochs):
@@ -141,10 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
         .limit(max_labelled)
     )
     texts = docs.select(F.col(id_col).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "k").toArrow()
-    order = np.lexsort((np.array(rows["y"]), np.array(rows["k"]))) if len(rows) else []
-    t, y = rows["t"].to_pylist(), rows["y"].to_pylist()
-    return fit([t[i] for i in order], [y[i] for i in order])
+    found = texts.join(F.broadcast(chosen), "k")  # at most max_labelled short rows
+    rows = found.orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("t")).limit(max_labelled).toArrow()
+    return fit(rows["t"].to_pylist(), rows["y"].to_pylist())
 
 
 def quality_score(model: QualityModel, text: Column, spark) -> Column:
@@ -157,15 +160,19 @@ def quality_score(model: QualityModel, text: Column, spark) -> Column:
     return score(text)
 
 
+def _scored(docs: DataFrame, model: QualityModel | None, text: str, keep: float, reject: float) -> DataFrame:
+    """(row, p, decision): the columns of ``docs``, whatever their names, and what is said of each row."""
+    blank = F.col(text).isNull() | ~F.col(text).rlike(tb.SOLID.pattern)
+    p = F.lit(None).cast("double") if model is None else quality_score(model, F.col(text), docs.sparkSession)
+    out = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), blank.alias("blank"), p.alias("p"))
+    decision = F.when(F.col("blank"), "reject").when(F.col("p").isNull() | (F.col("p") >= keep), "keep").when(F.col("p") >= reject, "review").otherwise("reject")
+    return out.select("row", "p", decision.alias("decision"))
+
+
 def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", keep: float = KEEP, reject: float = REJECT) -> DataFrame:
     """``docs`` with ``quality_p`` and ``quality_decision`` (keep, review, reject) after its own columns."""
-    blank = F.col(text).isNull() | ~F.col(text).rlike(r"[^\x09-\x0d\x1c-\x20]")
-    p = F.lit(None).cast("double") if model is None else quality_score(model, F.col(text), docs.sparkSession)
-    out = docs.withColumn("quality_p", p)
-    return out.withColumn(
-        "quality_decision",
-        F.when(blank, "reject").when(F.col("quality_p").isNull() | (F.col("quality_p") >= keep), "keep").when(F.col("quality_p") >= reject, "review").otherwise("reject"),
-    )
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("quality_p", "quality_decision")]
+    return _scored(docs, model, text, keep, reject).select(*kept, F.col("p").alias("quality_p"), F.col("decision").alias("quality_decision"))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
@@ -177,4 +184,4 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; those kept or for review stay."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("quality_decision <> 'reject'").select(*docs.columns)
+    return _scored(docs, model, "text", KEEP, REJECT).where("decision <> 'reject'").select("row.*")
