@@ -37,10 +37,13 @@ def assign_shards(df: DataFrame, key: str, weights: list[float], name: str = "sh
 
 
 def write_shards(df: DataFrame, key: str, weights: list[float], path: str) -> None:
-    """One folder for each shard; rows are first brought together by shard, in parts by hash of the key."""
+    """One folder ``shard=j`` for each shard; rows are first brought together by shard, in parts by a hash of the whole row.
+
+    A column ``shard`` of the input is replaced. A key of very many rows spreads over its shard's parts.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(weights)))
-    placed = assign_shards(df, key, weights, "__shard")
-    placed.repartition(F.col("__shard"), F.pmod(F.xxhash64(key), F.lit(parts))).write.mode("overwrite").partitionBy("__shard").parquet(path)
+    placed = assign_shards(df, key, weights, "shard")
+    placed.repartition(F.col("shard"), F.pmod(F.xxhash64(*(F.col(c) for c in df.columns if c != "shard")), F.lit(parts))).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
