@@ -353,3 +353,61 @@ def test_mixture_matches_a_plain_layout(spark):
             mixing.mix(df)
         finally:
             mixing.MOST_SOURCES = most
+
+
+def test_templates_match_a_plain_count(spark):
+    """A host of many sections: each section's menu is on few of its pages, yet deleted; both ways give the same rows."""
+    rows = [(k, "http://big.org/x", f"<body><nav><a>Menu of section number {k % 60}</a></nav><p>own text of page {k}</p></body>", "extra") for k in range(360)]
+    rows += [(1000, "http://big.org/y", rows[0][2], "extra"), (1001, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, row STRING")
+    on: dict = {}
+    for _, _, html, _ in rows:
+        for key in {e[0] for e in htmltext.parse(html)[1] if e[3] >= htmltext.MIN_CHARS} if html else ():
+            on.setdefault(key, set()).add(html)
+    template = np.array([k for k, pages in on.items() if len(pages) >= htmltext.MIN_PAGES], np.uint64)
+    want = sorted((i, *(htmltext.without(h, lambda x: np.isin(x, template)) if h else (None, 0)), x) for i, _, h, x in rows)
+    for limit in (1 << 20, -1):
+        assert sorted((r.page_id, r.main_text, r.removed, r.row) for r in htmltext.extract(df, broadcast_bytes=limit).collect()) == want
+    assert want[0][1] == "own text of page 0" and want[0][2] == 1
+
+
+def test_samples_are_bounded_however_keys_repeat(spark, monkeypatch):
+    words = {"en": "the of and this with", "fr": "être où ça déjà les"}
+    rows = [(None, f"{words[lang]} " * 3, lang) for _ in range(300) for lang in words]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda windows, labels: seen.append(len(labels)))
+    langid.train(df, max_labelled=50)
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(len(labels)))
+    same = spark.createDataFrame([(1, r[1]) for r in rows], "doc_id BIGINT, text STRING")
+    quality.train(same, spark.createDataFrame([(1, 0), (1, 1)], "doc_id BIGINT, quality INT"), max_labelled=50)
+    assert seen == [50, 50]
+    monkeypatch.undo()
+    assert quality.fit(["a b", "c d"], [0, 1]).slope == 1.0 and quality.fit(["a b"] * 3 + ["c"], [0, 0, 0, 1]) is not None
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    kind = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, quality_p STRING, quality_decision STRING, pii_text STRING, pii_entities STRING, p STRING, row STRING, piece STRING, rest STRING, u STRING, part STRING, n STRING, at STRING"
+    rows = [(k, f"some words of text number {k} and mail a{k}@mail1.example.com", "en", "s", 9, *(f"{c}{k}" for c in "abcdefghijkl")) for k in range(6)]
+    df = spark.createDataFrame(rows, kind)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id BIGINT, quality INT")
+    scored = quality._scored(df, quality.train(df, labels), "text", 0.0, 0.0).where("decision <> 'reject'").select("row.*")
+    for out in (scored, simhash.stage(spark, df, ""), pii.stage(spark, df, ""), mixing.stage(spark, df, "")):
+        assert out.schema.names == df.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+        assert {tuple(r[5:]) for r in out.collect()} <= {r[5:] for r in rows}
+    assert pii.stage(spark, df, "").where("text LIKE '%[EMAIL]%' AND n_chars = length(text)").count() == 6
+
+
+def test_suffix_takes_ids_of_any_type(spark):
+    text = " ".join(f"w{k}" for k in range(70))
+    for kind, ids in (("STRING", ("d1", "d2", None)), ("DOUBLE", (0.5, 1.5, None))):
+        df = spark.createDataFrame([(i, "lead " * j + text) for j, i in enumerate(ids)] + [(ids[0], "lead " * 0 + text)], f"doc_id {kind}, text STRING")
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.start_word, r.end_word) for r in suffix.repeated_spans(df).select("doc_id", "start_word", "end_word").collect()) == [(False, ids[0], 0, 70), (False, ids[1], 1, 71), (True, 0, 2, 72)]
+
+
+def test_written_shards(docs, spark, tmp_path):
+    sharding.write_shards(docs, "doc_id", [1.0, 0.0, 2.0], f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.count() == docs.count() and set(back.columns) == set(docs.columns) and {r.shard for r in back.select("shard").distinct().collect()} <= {0, 2}
+    wrong = back.select("shard", sharding.rendezvous(F.col("doc_id"), [1.0, 0.0, 2.0]).alias("want")).where("shard <> want")
+    assert wrong.count() == 0

@@ -189,3 +189,105 @@ def test_word_hashes_do_not_depend_on_the_place():
         for k, x in enumerate(tb.word_hashes(data, s, e).tolist()):
             h.setdefault(data[s[k] : e[k]].tobytes().lower().strip(b","), set()).add(x)
     assert all(len(v) == 1 for v in h.values()) and len(h) == 3
+
+
+def test_html_omitted_tags_and_quotes():
+    none = lambda h: np.zeros(len(h), bool)
+    text = lambda page: htmltext.without(page, none)[0]
+    assert text("<html><head><title>t</title><body><p>hello world text</p></body></html>") == "hello world text"
+    assert text("<head><title>t</title>bare text<p>more") == "bare text\nmore"
+    assert text("<head><title>never closed<p>seen</p>") == "seen"
+    assert text('<p title="a>b">hello</p>') == "hello" and text("<p title='a>b' x>hello</p>") == "hello"
+    assert text("<p title=it's>one</p><p title=it's>two</p>") == "one\ntwo" and text('<p title="open>one</p>') == "one"
+    assert text("<p>a</p><select><option>x<p>b</p>") == "a\nx\nb" and text("<select><option>x<p>b</p><select><option>y</select>") == "b" and text("<select><option>x</select>c") == "c"
+    for tag in ("svg", "iframe", "noscript"):
+        assert text(f"<p>a</p><{tag}><p>b</p>") == "a\nb" and text(f"<p>a</p><{tag}>x</{tag}><p>b</p>") == "a\nb"
+    long = "<div>" * 2000 + "<p>words of a long page " * 20_000
+    assert text(long).count("long") == 20_000 and text("<a '\" " * 20_000 + ">x") == "x"
+
+
+def test_any_characters_are_read():
+    rng = random.Random(8)
+    odd = "²³¹٣৪  ́​\U0001f600\x00\x1c'\"<>&=@.:-_/()09azAZßéあ漢 \n\t"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 300))) for _ in range(120)] + ["1.2.3.²", "1234567890123²", "1.2.3." + "9" * 5000, "4" * 16, "9" * 100_000, "a@" * 50_000, None, ""]
+    model = pii.trained()
+    together = pii.redact_texts(model, pa.array(texts)).to_pylist()
+    assert together == [pii.redact_texts(model, pa.array([t], pa.string())).to_pylist()[0] for t in texts]  # whatever else is in the batch
+    some = pa.array(texts, pa.string())
+    simhash.fingerprints(some)
+    net = langid.fit(np.ones((2, 256), np.uint8), ["x", "y"])
+    langid.classify(net, some)
+    quality.score_texts(quality.fit(["good words here", "bad words here"] * 4, [1, 0] * 4), some)
+    for t in texts:
+        htmltext.without(t or "", lambda h: np.zeros(len(h), bool))
+    rows = packing.pack_run(list(range(len(texts))), texts, window=256)
+    want = [x for t in texts if t and tb.SOLID.search(t) for x in [*tk.encode([t])[0].tolist(), tk.END]]
+    assert np.concatenate(rows["tokens"]).tolist() == want
+
+
+def test_a_repeated_ambiguous_token_takes_the_label_of_its_evidence():
+    model = pii.trained()
+    found = lambda t: [(e["kind"], t[e["start"] : e["end"]]) for e in pii.redact_texts(model, pa.array([t])).to_pylist()[0]["entities"]]
+    assert found("they went to hunterquartz by train") == []
+    text = "my password: hunterquartz is old. " + "plain words go on and on. " * 200 + "they went to hunterquartz by train"
+    assert found(text) == [("SECRET", "hunterquartz")] * 2
+    assert found("the key ideas remain and token economies work, a secret garden") == []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_marginals_match_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    model = pii.Crf()
+    model.trans, model.skip = rng.normal(0, 0.6, (pii.K, pii.K)), rng.normal(0, 0.6, (2, pii.K, pii.K))
+    n = 5
+    unary = rng.normal(0, 1, (n, pii.K))
+    tree = seed % 2 == 0
+    edges = [(0, 1, 2), (1, 2, 2), (1, 3, 0), (3, 4, 1)] + ([] if tree else [(0, 4, 0)])
+    a, b, kind = (np.array(x) for x in zip(*edges))
+    ties = [model.skip[0], model.skip[1], model.trans]
+    score = 0
+    for i in range(n):
+        score = score + unary[i].reshape([-1 if k == i else 1 for k in range(n)])
+    for i, j, k in edges:
+        score = score + ties[k].reshape([pii.K if x in (i, j) else 1 for x in range(n)])
+    p = np.exp(score - score.max())
+    p /= p.sum()
+    want = np.stack([p.sum(tuple(k for k in range(n) if k != i)) for i in range(n)])
+    got = model.marginals(unary, a, b, kind)
+    assert np.abs(got - want).max() < (1e-3 if tree else 0.1)
+
+
+def test_language_probabilities_match_a_plain_forward_pass():
+    rng = random.Random(2)
+    rows = [(lang, prose(rng, lang, 60)) for lang in WORDS for _ in range(10)]
+    seen = np.concatenate([langid.windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in rows])
+    net = langid.fit(seen, [lang for lang, t in rows for _ in range(-(-len(t.encode()) // 256))], epochs=1)
+    got = langid.probabilities(net, seen[:7])
+    for w, p in zip(seen[:7], got):
+        x, pooled = net.embed[w].astype(float), []
+        for width, kernel, bias in zip(langid.WIDTHS, net.kernels, net.biases):
+            best = np.full(langid.FILTERS, -np.inf)
+            for at in range(256 - width + 1):
+                best = np.maximum(best, x[at : at + width].ravel() @ kernel.astype(float))
+            pooled.append(np.maximum(best + bias, 0))
+        z = np.concatenate(pooled) @ net.out + net.out_bias
+        z = np.exp(z - z.max())
+        assert np.abs(z / z.sum() - p).max() < 1e-4
+
+
+def test_quality_logits_match_plain_sums():
+    rng = random.Random(3)
+    texts = ["été déjà là " + prose(rng, "fr", 9), "one two two", "日本語のテキスト", "x"]
+    model = quality.fit(texts * 5, [1, 0, 1, 0] * 5, epochs=2)
+    size = quality.BITS
+    top = lambda h: int(h) >> (64 - size)
+    whole = lambda x: tb.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), folded=False)[0]
+    for t in texts:
+        raw = t.encode()
+        z, n = quality._logits(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        grams = [t[k : k + 4].encode() for k in range(len(t) - 3)]
+        chars = sum(float(model.chars[top(whole(g))]) for g in grams) / (len(grams) + quality.PRIOR)
+        h = [tb.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] for w in t.split()]
+        pairs = [tb.mix(np.array([quality.SAME if a == b else a * np.uint64(31) + b]))[0] for a, b in zip(h, h[1:])]
+        words = sum(float(model.words[top(x)]) for x in [*h, *pairs, h[-1]]) / (2 * len(h) + quality.PRIOR)
+        assert abs(z[0] - (words + chars + model.bias)) < 1e-4 and n[0] == 2 * len(h)
