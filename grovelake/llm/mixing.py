@@ -68,7 +68,7 @@ def _perm(k, n, key):
 def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, texts: bool) -> DataFrame:
     """(source, id, th, u, n, ids) of the texts with words: ``u`` differs in all rows, ``n`` counts the end token.
 
-    With ``texts`` also the text, the bytes of each token (``ends``) and the columns not named here (``rest``).
+    With ``texts`` not the ids but the text (``raw``), the bytes of each token (``sizes``) and the other columns (``rest``).
     """
     width = tk.width(path)
     rest = [c for c in docs.columns if c not in (id_col, text)]
@@ -78,16 +78,17 @@ def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, te
         ids, counts = tk.encode(found, path)
         return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(ids.astype(width), counts)], ["n", "ids"])
 
-    @F.arrow_udf("struct<n: bigint, ends: binary>")
-    def ended(found: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<n: bigint, sizes: binary, raw: binary>")
+    def sized(found: pa.Array) -> pa.Array:
         ids, counts = tk.encode(found, path)
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        ends = [tk.token_ends(x, t.encode(), path) for x, t in zip(parts, found.to_pylist())]
-        flat = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(flat.astype("<i4"), counts)], ["n", "ends"])
+        raw = [t.encode() for t in found.to_pylist()]
+        ends = [tk.token_ends(x, t, path) for x, t in zip(np.split(ids, np.cumsum(counts)[:-1]), raw)]
+        sizes = np.concatenate([np.diff(x, prepend=0) for x in ends]) if ends else np.zeros(0, np.int64)
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(sizes.astype("<u4"), counts), runs.packed(whole, np.array(list(map(len, raw)), np.int64))], ["n", "sizes", "raw"])
 
     rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(c) for c in rest)).alias("rest")).where(F.col("text").rlike(tb.SOLID.pattern))
-    rows = rows.select("source", "id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), *(("text", "rest", ended("text").alias("e")) if texts else (encoded("text").alias("e"),)))
+    rows = rows.select("source", "id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), *(("rest", sized("text").alias("e")) if texts else (encoded("text").alias("e"),)))
     return written(rows.select(*rows.columns[:-1], "e.*"), "encoded")
 
 
@@ -232,15 +233,15 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
             column = lambda x: batch.column(batch.schema.get_field_index(x))  # noqa: B023, E731
             taken: list[int] = []
             out: list[list] = [[], [], [], []]
-            for row, (p, s, whole, n, ends) in enumerate(zip(*(column(x).to_pylist() for x in ("part", "source", "text", "n")), runs.unpacked(column("ends").to_pylist(), "<i4"))):
+            for row, (p, s, n, raw, sizes) in enumerate(zip(*(column(x).to_pylist() for x in ("part", "source", "n")), *(runs.unpacked(column(x).to_pylist(), kind_) for x, kind_ in (("raw", "u1"), ("sizes", "<u4"))))):
                 if p != part or s != now:
                     place = begins[p] if p != part else 0
                     part, now = p, s
-                raw, bounds = whole.encode(), np.append(0, ends)
+                bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))
                 lo = 0
                 while lo < n - 1:
                     hi = min(n - 1, (((place + lo) // block) + 1) * block - place)
-                    piece = raw[bounds[lo] : bounds[hi]].decode()
+                    piece = raw[bounds[lo] : bounds[hi]].tobytes().decode()
                     if piece:
                         taken.append(row)
                         for c, x in zip(out, (s, (place + lo) // block, (place + lo) % block, piece)):
