@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     ns = a.namespace
 
     def show(df) -> None:
-        df.show(1000, False) if a.format == "table" else print(formatted(df, a.format), end="")
+        df.show((1 << 31) - 1, False) if a.format == "table" else print(formatted(df, a.format), end="")
 
     def text(df):
         return df.select([df[c].cast("string").alias(c) if t == "binary" else df[c] for c, t in df.dtypes])

@@ -27,8 +27,8 @@ def blob_size(value: Column) -> Column:
 
 
 def externalise(rows: DataFrame, threshold: int, known: DataFrame | None = None, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(rows with envelopes for values of more than ``threshold`` bytes, the blobs (hash, bytes) that ``known`` lacks)."""
-    large = F.octet_length(value) > threshold
+    """(rows with envelopes for values of more than ``threshold`` bytes, the blobs (hash, bytes) that ``known`` lacks); envelopes stay."""
+    large = (F.octet_length(value) > threshold) & ~is_envelope(F.col(value))
     new = rows.where(large).groupBy(F.unhex(F.sha2(F.col(value), 256)).alias("hash")).agg(F.any_value(value).alias("bytes"))
     if known is not None:
         new = new.join(known.select("hash"), "hash", "left_anti")
@@ -36,10 +36,11 @@ def externalise(rows: DataFrame, threshold: int, known: DataFrame | None = None,
 
 
 def unwrap(rows: DataFrame, blobs: DataFrame, value: str = "value") -> DataFrame:
-    """Values for envelopes whose blob is there; other bytes as they are."""
-    named = blobs.select(F.col("hash").alias("__hash"), F.col("bytes").alias("__bytes"))
-    out = rows.join(named, blob_hash(F.col(value)) == F.col("__hash"), "left")
-    return out.withColumn(value, F.coalesce("__bytes", value)).select(*rows.columns)
+    """Values for envelopes whose blob is there; other bytes as they are. Only rows with an envelope are joined."""
+    named = blobs.select(F.col("hash").alias("__hash"), F.col("bytes").alias("__bytes")).dropDuplicates(["__hash"])
+    held = rows.where(is_envelope(F.col(value)))
+    out = held.join(named, blob_hash(F.col(value)) == F.col("__hash"), "left").withColumn(value, F.coalesce("__bytes", value))
+    return rows.where(~is_envelope(F.col(value))).unionByName(out.select(*rows.columns))
 
 
 def garbage(blobs: DataFrame, live: list[DataFrame], value: str = "value") -> DataFrame:

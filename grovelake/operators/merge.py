@@ -53,7 +53,8 @@ def merged_json(source, dest):
     if isinstance(source, dict) and isinstance(dest, dict):
         return dest | {k: merged_json(v, dest[k]) if k in dest else v for k, v in source.items()}
     if isinstance(source, list) and isinstance(dest, list):
-        return dest + [x for x in source if x not in dest]
+        known = {json.dumps(x, sort_keys=True) for x in dest}  # 1, 1.0 and true differ
+        return dest + [x for x in source if json.dumps(x, sort_keys=True) not in known]
     return source
 
 
@@ -62,7 +63,7 @@ def _merge_texts(source: pa.Array, dest: pa.Array) -> pa.Array:
     for s, d in zip(source.to_pylist(), dest.to_pylist()):
         try:
             out.append(s if s is None or d is None else json.dumps(merged_json(json.loads(s), json.loads(d)), separators=(",", ":"), ensure_ascii=False))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or too deep to be read
             out.append(s)
     return pa.array(out, pa.string())
 

@@ -41,8 +41,8 @@ def hash_embedder(dim: int = 32, seed: int = 0) -> Embedder:
             return F.when(byte > 127, byte - 256).otherwise(byte).cast("double") / 128
 
         raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), element)
-        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(x)))[0].cast("array<float>")
+        pair = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)).alias("norm")))
+        return F.transform(pair, lambda p: F.transform(p["v"], lambda x: F.when(p["norm"] > 0, x / p["norm"]).otherwise(x)))[0].cast("array<float>")
 
     return Embedder("hash", f"1:{seed}", dim, embed)
 

@@ -1,16 +1,18 @@
 """A versioned store: immutable Parquet snapshots, commits and branches, over any file system that Spark reads.
 
 Layout: ``data/`` one folder for each snapshot, never changed; ``commits/<id>.json`` what a commit holds;
-``refs.json`` branches; ``HEAD.json`` the branch and its staging; a commit writes data, then itself, then its ref.
+``refs.<n>`` branches; ``HEAD.<n>`` the branch and its staging; a commit writes data, then itself, then its ref.
+Numbered files are never changed: a new state is a new number, which one of several writers gets, so a crash leaves
+the state before and no commit of another writer is lost.
 Namespaces hold (key, value) in bytes, tables hold typed rows; both are versioned alike.
 """
 
 import hashlib
+import heapq
 import json
 import re
 import time
 import uuid
-from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,34 +30,72 @@ KV = "key BINARY, value BINARY"
 CHANGES = "key BINARY, value BINARY, is_delete BOOLEAN, seq BIGINT"
 
 
+def refuse_writes(spark: SparkSession, query: str) -> None:
+    """Raises unless Spark's parser reads ``query`` as a query and nothing else."""
+
+    def kinds(cls) -> set[str]:
+        if cls is None:
+            return set()
+        return {cls.getName()}.union(kinds(cls.getSuperclass()), *(kinds(x) for x in cls.getInterfaces()))
+
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    for plan in todo:
+        if any(x.rpartition(".")[2] in ("Command", "ParsedStatement") for x in kinds(plan.getClass())):
+            raise StoreError("only queries can be run on a version")
+        children = plan.children()
+        todo.extend(children.apply(k) for k in range(children.size()))
+
+
 class Store:
     """One handle on a store's path. ``create`` makes one where there is none."""
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True, config: TreeConfig = TreeConfig(), author: str = "unknown") -> None:
         self.spark, self.path, self.author, self.threshold = spark, path.rstrip("/"), author, None
         self.files = Files(spark, self.path)
-        if not self.files.exists("refs.json"):
+        if not self.files.versions("refs"):
             if not create:
                 raise NotFound(f"no store at {path}")
+            if len([x for x in self.files.names("commits") if x.endswith(".json")]) > 1:
+                raise StoreError(f"the store at {path} has commits but no branches")
             self.files.write("config.json", config.to_json())
             first = self._put_commit([], "Initial commit", {"default": None}, {})
-            self.files.write("refs.json", json.dumps({"main": first}))
+            self.files.write_next("refs", -1, json.dumps({"main": first}))
             self._head({"branch": "main", "staged": {}})
         self.config = TreeConfig.from_json(self.files.read("config.json"))
 
     # metadata
 
+    def _state(self, name: str, change=None) -> dict:
+        """A numbered file's last state, or the next one that ``change`` makes of it."""
+        for _ in range(50):
+            found = self.files.versions(name)
+            old = json.loads(self.files.read(f"{name}.{found[-1]:012d}")) if found else {}
+            if change is None:
+                return old
+            new = change(old)
+            if self.files.write_next(name, found[-1] if found else -1, json.dumps(new)):
+                return new
+            time.sleep(0.05)
+        raise StoreError(f"other writers keep changing {name}")
+
     def _head(self, new: dict | None = None) -> dict:
-        if new is not None:
-            self.files.write("HEAD.json", json.dumps(new))
-            return new
-        return json.loads(self.files.read("HEAD.json"))
+        return self._state("HEAD", None if new is None else lambda _: new)
 
     def _refs(self) -> dict:
-        return json.loads(self.files.read("refs.json"))
+        return self._state("refs")
 
-    def _put_commit(self, parents: list[str], message: str, spaces: dict, tables: dict) -> str:
-        body = {"parents": parents, "message": message, "author": self.author, "ts": int(time.time()), "format_version": 2, "spaces": spaces, "tables": tables, "nonce": uuid.uuid4().hex}
+    def _move(self, branch: str, to: str, was: str | None) -> None:
+        """Moves a branch that still is where it was seen."""
+
+        def moved(refs: dict) -> dict:
+            if refs.get(branch) != was:
+                raise StoreError(f"another writer moved {branch!r}")
+            return refs | {branch: to}
+
+        self._state("refs", moved)
+
+    def _put_commit(self, parents: list[str], message: str, spaces: dict, tables: dict, streams: dict | None = None) -> str:
+        body = {"streams": streams or {}, "parents": parents, "message": message, "author": self.author, "ts": int(time.time()), "format_version": 2, "spaces": spaces, "tables": tables, "nonce": uuid.uuid4().hex}
         name = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:40]
         self.files.write(f"commits/{name}.json", json.dumps(body))
         return name
@@ -82,10 +122,9 @@ class Store:
         return sorted(self._refs())
 
     def branch(self, name: str, at: str = "HEAD") -> None:
-        refs = self._refs()
-        if name in refs:
+        if name in self._refs():
             raise StoreError(f"there is a branch {name!r}")
-        self.files.write("refs.json", json.dumps(refs | {name: self.resolve(at)}))
+        self._move(name, self.resolve(at), None)
 
     def create_branch(self, name: str) -> None:
         """A branch from here, switched to; staged changes are dropped."""
@@ -98,14 +137,16 @@ class Store:
         self._head({"branch": name, "staged": {}})
 
     def log(self, ref: str = "HEAD", limit: int | None = 100) -> list[dict]:
-        """Commits from ``ref``, newest first."""
-        out, seen, todo = [], set(), deque([self.resolve(ref)])
+        """Commits from ``ref``, newest first: by time, a commit before its parents."""
+        first = self._commit(self.resolve(ref))
+        out, seen, todo = [], {first["id"]}, [(-first["ts"], 0, first)]
         while todo and (limit is None or len(out) < limit):
-            name = todo.popleft()
-            if name not in seen:
-                seen.add(name)
-                out.append(self._commit(name))
-                todo.extend(out[-1]["parents"])
+            out.append(heapq.heappop(todo)[2])
+            for name in out[-1]["parents"]:
+                if name not in seen:
+                    seen.add(name)
+                    c = self._commit(name)
+                    heapq.heappush(todo, (-min(c["ts"], out[-1]["ts"]), len(seen), c))
         return out
 
     def ancestors(self, ref: str) -> set[str]:
@@ -116,8 +157,12 @@ class Store:
 
     def merge_base(self, a: str, b: str) -> str | None:
         """The first of b's history, breadth first, that a descends from."""
-        known = self.ancestors(a)
-        return next((c["id"] for c in self.log(b, None) if c["id"] in known), None)
+        known, todo = self.ancestors(a), [self.resolve(b)]
+        for name in todo:
+            if name in known:
+                return name
+            todo.extend(p for p in self._commit(name)["parents"] if p not in todo)
+        return None
 
     # data
 
@@ -216,25 +261,44 @@ class Store:
 
     def commit(self, message: str, parents: list[str] | None = None) -> str:
         """All namespaces' staged changes in one commit."""
-        head, refs = self._head(), self._refs()
-        was = self._commit(refs[head["branch"]])
-        spaces = dict(was["spaces"])
-        for name, parts in head["staged"].items():
-            if parts:
-                rows = kv.overlay(self._read(spaces.get(name)), kv.last_wins(self.staged(name)))
-                if self.threshold is not None:
-                    rows, new = bl.externalise(rows, self.threshold, self.blobs())
-                    new.write.mode("append").parquet(f"{self.path}/blobs")
-                spaces[name] = self._save(rows, True)
-        return self._finish(message, spaces, was["tables"], parents)
-
-    def _finish(self, message: str, spaces: dict, tables: dict, parents: list[str] | None = None) -> str:
-        head, refs = self._head(), self._refs()
-        made = self._put_commit(parents or [refs[head["branch"]]], message, spaces, tables)
-        self.files.write("refs.json", json.dumps(refs | {head["branch"]: made}))
+        head = self._head()
+        changes = {name: self.staged(name) for name, staged in head["staged"].items() if staged}
+        made = self._commit_of(changes, message, parents)
         self.discard()
         return made
 
+    def commit_changes(self, changes: DataFrame, message: str, namespace: str = "default", streams: dict | None = None) -> str:
+        """Commits (key, value, is_delete, seq) at once; what is staged stays. ``streams`` names the batch that they are."""
+        rows = changes.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "is_delete", F.col("seq").cast("bigint").alias("seq"))
+        return self._commit_of({namespace: validated(rows)}, message, None, streams)
+
+    def last_batch(self, stream: str) -> int:
+        """The last micro-batch of a stream on this branch; -1 before the first."""
+        return self._commit(self.resolve()).get("streams", {}).get(stream, -1)
+
+    def _commit_of(self, changes: dict, message: str, parents: list[str] | None, streams: dict | None = None) -> str:
+        was = self._commit(self.resolve())
+        spaces = dict(was["spaces"])
+        for name, rows in changes.items():
+            last = kv.last_wins(rows)
+            if self.threshold is not None:
+                last = self._externalised(last)
+            spaces[name] = self._save(kv.overlay(self._read(spaces.get(name)), last), True)
+        return self._finish(message, spaces, was["tables"], parents, streams)
+
+    def _externalised(self, rows: DataFrame) -> DataFrame:
+        """Large values of ``rows`` go to the blobs first, so that no commit has an envelope without its blob."""
+        out, new = bl.externalise(rows, max(self.threshold, bl.SIZE), self.blobs())
+        new.write.mode("append").parquet(f"{self.path}/blobs")
+        return out
+
+    def _finish(self, message: str, spaces: dict, tables: dict, parents: list[str] | None = None, streams: dict | None = None) -> str:
+        branch = self._head()["branch"]
+        was = (parents or [self._refs()[branch]])[0]
+        made = self._put_commit(parents or [was], message, spaces, tables, self._commit(was).get("streams", {}) | (streams or {}))
+        self._move(branch, made, was)
+        return made
+
     def delete_namespace(self, name: str) -> str:
         if name == "default":
             raise StoreError("the default namespace stays")
@@ -318,7 +382,7 @@ class Store:
 
     def _merge(self, source: str, resolver, policy: str, namespace: str) -> DataFrame:
         base = self.merge_base("HEAD", source)
-        read = lambda ref: self.at(ref, namespace) if ref and namespace in self._commit(self.resolve(ref))["spaces"] else self.spark.createDataFrame([], KV)
+        read = lambda ref: self.at(ref, namespace, raw=resolver is None) if ref and namespace in self._commit(self.resolve(ref))["spaces"] else self.spark.createDataFrame([], KV)
         return mg.merge3(read(base), read(source), read("HEAD"), policy, resolver)
 
     def merge(self, source: str, resolver=None, policy: str = "store", message: str | None = None) -> str:
@@ -326,10 +390,8 @@ class Store:
         here, there = self.resolve(), self.resolve(source)
         if self.is_ancestor(there, here):
             return here
-        head, refs = self._head(), self._refs()
         if self.is_ancestor(here, there):
-            self.files.write("refs.json", json.dumps(refs | {head["branch"]: there}))
-            self.discard()
+            self._move(self._head()["branch"], there, here)
             return there
         base, a, b = self._commit(self.merge_base(here, there)), self._commit(there), self._commit(here)
         mark = lambda c, n: (c["spaces"].get(n) or {}).get("mark")
@@ -343,10 +405,28 @@ class Store:
                 if mg.conflicts(merges[n]).limit(1).count():
                     raise MergeConflict(mg.conflicts(merges[n]))
         for n, m in merges.items():
-            spaces[n] = self._save(mg.apply_merge(self.at(here, n), m), True)
-        tables = {n: b["tables"].get(n) if a["tables"].get(n) == base["tables"].get(n) else a["tables"].get(n) for n in set(a["tables"]) | set(b["tables"])}
+            rows = mg.apply_merge(self.at(here, n, raw=resolver is None), m)
+            spaces[n] = self._save(self._externalised(rows) if resolver is not None and self.threshold is not None else rows, True)
+        tables = {n: self._merged_table(n, *(c["tables"].get(n) for c in (base, a, b)), resolver, policy) for n in sorted(set(a["tables"]) | set(b["tables"]))}
         return self._finish(message or f"Merge {source}", spaces, {n: t for n, t in tables.items() if t}, [here, there])
 
+    def _merged_table(self, name: str, base: dict | None, source: dict | None, dest: dict | None, resolver, policy: str) -> dict | None:
+        """The table of the side that changed it; of both, by rows with the primary key."""
+        if source == base or source == dest:
+            return dest
+        if dest == base:
+            return source
+        known = [t for t in (base, source, dest) if t]
+        keys = {t.get("pk") for t in known}
+        if source is None or dest is None or len(keys) > 1 or None in keys or any(t["schema"] != dest["schema"] for t in known):
+            raise StoreError(f"both branches changed table {name!r}: only rows of one schema with a primary key can be merged")
+        pk, kind = dest["pk"], StructType.fromJson(dest["schema"])
+        side = lambda t: (self._read(t) if t else self.spark.createDataFrame([], kind)).select(F.col(pk).alias("key"), F.struct(*(F.col(c) for c in kind.names)).alias("value"))
+        merged = mg.merge3(side(base), side(source), side(dest), policy, resolver)
+        if mg.conflicts(merged).limit(1).count():
+            raise MergeConflict(mg.conflicts(merged))
+        return self._save(mg.apply_merge(side(dest), merged).select("value.*"), False) | {"pk": pk}
+
     def stats(self, namespace: str = "default") -> dict:
         nodes = merkle.node_table(self.at("HEAD", namespace, raw=True), self.config)
         commits = self.log("HEAD", None)
@@ -354,10 +434,11 @@ class Store:
 
     # tables
 
-    def put_table(self, name: str, rows: DataFrame, message: str | None = None) -> str:
-        """A table's rows as of a new commit."""
+    def put_table(self, name: str, rows: DataFrame, message: str | None = None, pk: str | None = None) -> str:
+        """A table's rows as of a new commit; a primary key that it has stays."""
         was = self._commit(self.resolve())
-        return self._finish(message or f"Write table {name}", was["spaces"], was["tables"] | {name: self._save(rows, False)})
+        pk = pk or was["tables"].get(name, {}).get("pk")
+        return self._finish(message or f"Write table {name}", was["spaces"], was["tables"] | {name: self._save(rows, False) | ({"pk": pk} if pk else {})})
 
     def table(self, name: str, ref: str = "HEAD") -> DataFrame:
         found = self._commit(self.resolve(ref))["tables"]
@@ -368,10 +449,10 @@ class Store:
     def tables(self, ref: str = "HEAD") -> dict[str, StructType]:
         return {n: StructType.fromJson(e["schema"]) for n, e in sorted(self._commit(self.resolve(ref))["tables"].items())}
 
-    def create_table(self, name: str, schema: str) -> str:
+    def create_table(self, name: str, schema: str, pk: str | None = None) -> str:
         if name in self.tables():
             raise StoreError(f"there is a table {name!r}")
-        return self.put_table(name, self.spark.createDataFrame([], schema), f"Create table {name}")
+        return self.put_table(name, self.spark.createDataFrame([], schema), f"Create table {name}", pk)
 
     def drop_table(self, name: str) -> str:
         """Its rows go with it."""
@@ -383,7 +464,7 @@ class Store:
         """Upserts by ``pk``; without one, rows are appended."""
         old = self.table(name)
         rows = rows.select([F.col(f.name).cast(f.dataType) for f in old.schema.fields])
-        return self.put_table(name, (old.join(rows.select(pk), pk, "left_anti").select(*old.columns) if pk else old).unionByName(rows))
+        return self.put_table(name, (old.join(rows.select(pk), pk, "left_anti").select(*old.columns) if pk else old).unionByName(rows), pk=pk)
 
     def update_rows(self, name: str, where: str, /, **values: str) -> str:
         """SET column = expression WHERE a condition."""
@@ -395,21 +476,26 @@ class Store:
         return self.put_table(name, self.table(name).where(~F.coalesce(F.expr(where), F.lit(False))))
 
     def sql(self, query: str, ref: str = "HEAD") -> DataFrame:
-        """A query over the tables as they were at ``ref``; statements that write are refused."""
-        if not re.match(r"\s*(\(|select\b|with\b|values\b|from\b|describe\b|show\b|explain\b)", query, re.I):
-            raise StoreError("only queries can be run on a version")
+        """A query over the tables as they were at ``ref``; statements that write are refused. The session's views stay as they were."""
+        refuse_writes(self.spark, query)
         found = self._commit(self.resolve(ref))["tables"]
         used = {n: self._read(e) for n, e in found.items() if re.search(rf"\b{re.escape(n)}\b", query)}
-        for n, rows in used.items():
-            rows.createOrReplaceTempView(n)
-        return self.spark.sql(query)
+        hidden = {n: self.spark.table(n) for n in used if any(t.isTemporary and t.name == n for t in self.spark.catalog.listTables())}
+        try:
+            for n, rows in used.items():
+                rows.createOrReplaceTempView(n)
+            return self.spark.sql(query)  # its plan is fixed here
+        finally:
+            for n in used:
+                if n in hidden:
+                    hidden[n].createOrReplaceTempView(n)
+                else:
+                    self.spark.catalog.dropTempView(n)
 
     # sessions: named checkouts of branches
 
     def _sessions(self, new: dict | None = None) -> dict:
-        if new is not None:
-            self.files.write("sessions.json", json.dumps(new))
-        return json.loads(self.files.read("sessions.json")) if self.files.exists("sessions.json") else {}
+        return self._state("sessions", None if new is None else lambda _: new)
 
     def add_session(self, name: str, branch: str) -> None:
         known = self._sessions()

@@ -67,6 +67,14 @@ def test_resolvers(spark):
     assert merge.conflicts(merge.merge3(b, s, d, "strict", none)).count() == 3
 
 
+def test_json_arrays_tell_types_apart():
+    assert merge.merged_json([True, 1.0, 1], [1]) == [1, True, 1.0]
+    deep = "[" * 100_000 + "]" * 100_000
+    import pyarrow as pa
+
+    assert merge._merge_texts(pa.array([deep]), pa.array(["[1]"])).to_pylist() == [deep]
+
+
 def test_timestamp_resolver(spark):
     side = lambda v: frame(spark, [("a timestamp:5", v), ("b", v)])
     got = merge.merge3(side("0"), side("1"), side("2"), "strict", merge.timestamp())
@@ -122,6 +130,8 @@ def test_free_ids(spark):
     used = spark.createDataFrame([(k,) for k in [0, 1, 3, 4, 9, 100]], "id BIGINT")
     assert [r.id for r in kv.free_ids(used, 6).collect()] == [2, 5, 6, 7, 8, 10]
     assert [r.id for r in kv.free_ids(used.limit(0), 2).collect()] == [0, 1]
+    dense = spark.range(5000).where("id <> 1500 AND id <> 4097")
+    assert [r.id for r in kv.free_ids(dense, 4).collect()] == [1500, 4097, 5000, 5001]
 
 
 def test_limits(spark):

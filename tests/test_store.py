@@ -123,3 +123,81 @@ def test_stream_of_changes(store, spark, tmp_path):
     spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in")
     commit_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/checkpoint").awaitTermination(60)
     assert content(store.at()) == {"a": "2"}
+
+
+def test_merge_of_tables_by_key(store, spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "id INT, name STRING")
+    store.create_table("t", "id INT, name STRING", "id")
+    store.insert_rows("t", rows((1, "a")), "id")
+    store.create_branch("work")
+    store.insert_rows("t", rows((3, "c")), "id")
+    store.checkout("main")
+    store.insert_rows("t", rows((2, "b")), "id")
+    store.merge("work")
+    assert sorted(tuple(r) for r in store.table("t").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    store.update_rows("t", "id = 1", name="'main'")
+    store.checkout("work")
+    store.update_rows("t", "id = 1", name="'work'")
+    store.checkout("main")
+    with pytest.raises(MergeConflict):
+        store.merge("work")
+    store.merge("work", merge.take_source)
+    assert ("work",) in [tuple(r) for r in store.sql("SELECT name FROM t WHERE id = 1").collect()]
+
+
+def test_values_are_put_apart_once(store):
+    store.threshold = 50
+    store.insert({"a": "x" * 200, "b": "1"})
+    store.commit("one")
+    store.threshold = 10
+    store.insert({"b": "2"})
+    store.commit("two")
+    assert store.get("a") == b"x" * 200 and store.get("b") == b"2"
+    store.create_branch("work")
+    store.insert({"c": "y" * 200})
+    store.commit("on work")
+    store.checkout("main")
+    store.insert({"d": "z" * 200})
+    store.commit("on main")
+    store.merge("work")
+    assert {len(r.value) for r in store.at(raw=True).where("key <> 'b'").collect()} == {44}
+    assert content(store.at())["c"] == "y" * 200
+
+
+def test_writers_dont_lose_commits(store, spark):
+    other = Store(spark, store.path)
+    store.insert({"a": "1"})
+    seen = other._refs()["main"]
+    store.commit("first")
+    with pytest.raises(StoreError):
+        other._move("main", "0" * 40, seen)
+    assert store.log()[0]["message"] == "first"
+    store.files.delete(f"refs.{store.files.versions('refs')[-1]:012d}")  # the newest state is lost: the one before is there
+    assert Store(spark, store.path).log()[0]["message"] == "Initial commit"
+    for n in store.files.versions("refs"):
+        store.files.delete(f"refs.{n:012d}")
+    with pytest.raises(StoreError):
+        Store(spark, store.path)
+
+
+def test_only_queries_run_on_a_version(store, spark):
+    store.put_table("t", spark.createDataFrame([(1,)], "id INT"))
+    spark.sql("SELECT 9 AS id").createOrReplaceTempView("t")
+    for query in ("FROM (SELECT 1 AS id) INSERT INTO t SELECT id", "WITH x AS (SELECT 1 AS id) INSERT INTO t SELECT id FROM x", "CREATE TABLE z AS SELECT 1", "DROP VIEW t", "SET a=b"):
+        with pytest.raises(StoreError):
+            store.sql(query)
+    assert store.sql("WITH x AS (SELECT id FROM t) SELECT * FROM x UNION ALL (SELECT id + 1 FROM t)").count() == 2
+    assert spark.table("t").first().id == 9
+    spark.catalog.dropTempView("t")
+
+
+def test_a_stream_leaves_what_is_staged_and_knows_its_batches(store, spark, tmp_path):
+    from grovelake.streaming.ingest import commit_stream
+
+    kind = "key BINARY, value BINARY, is_delete BOOLEAN, seq BIGINT"
+    spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"), False, 1)], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    store.insert({"mine": "staged"})
+    commit_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c").awaitTermination(60)
+    assert content(store.at()) == {"a": "1"} and store.get("mine") == b"staged" and store.last_batch(f"{tmp_path}/c") == 0
+    store.commit("mine")
+    assert store.last_batch(f"{tmp_path}/c") == 0 and content(store.at()) == {"a": "1", "mine": "staged"}
