@@ -18,7 +18,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Trained models, fingerprints and tokens can't be expressed in SQL; tests compare with a plain Python version.
+#: Trained models, fingerprints and tokens can't be expressed in SQL; each stage's operator is tested against a plain version.
 ORACLE_SQL = None
 
 
