@@ -65,6 +65,19 @@ def _perm(k, n, key):
     return index(k, n, key)
 
 
+def sized_texts(texts: pa.Array, path: str) -> pa.Array:
+    """(n, sizes, raw) of each text, compressed a slice at a time: a task never holds the tokens of a whole batch."""
+    names = ["n", "sizes", "raw"]
+
+    def part(texts: pa.Array, data: np.ndarray, offs: np.ndarray) -> pa.Array:
+        ids, counts = tk.encode(texts, path)
+        ends = [tk.token_ends(x, data[a:b].tobytes(), path) for x, a, b in zip(np.split(ids, np.cumsum(counts)[:-1]), offs[:-1].tolist(), offs[1:].tolist())]
+        sizes = np.concatenate([np.diff(x, prepend=0) for x in ends])
+        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(sizes.astype("<u4"), counts), runs.packed(data, np.diff(offs))], names)
+
+    return runs.joined((part(texts[row : row + len(offs) - 1], data, offs) for row, data, offs in tb.slices(texts)), names)
+
+
 def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, texts: bool) -> DataFrame:
     """(source, id, th, u, n, ids) of the texts with words: ``u`` differs in all rows, ``n`` counts the end token.
 
@@ -80,12 +93,7 @@ def _encoded(docs: DataFrame, id_col: str, text: str, source: str, path: str, te
 
     @F.arrow_udf("struct<n: bigint, sizes: binary, raw: binary>")
     def sized(found: pa.Array) -> pa.Array:
-        ids, counts = tk.encode(found, path)
-        raw = [t.encode() for t in found.to_pylist()]
-        ends = [tk.token_ends(x, t, path) for x, t in zip(np.split(ids, np.cumsum(counts)[:-1]), raw)]
-        sizes = np.concatenate([np.diff(x, prepend=0) for x in ends]) if ends else np.zeros(0, np.int64)
-        whole = np.frombuffer(b"".join(raw), np.uint8)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(sizes.astype("<u4"), counts), runs.packed(whole, np.array(list(map(len, raw)), np.int64))], ["n", "sizes", "raw"])
+        return sized_texts(found, path)
 
     rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(c) for c in rest)).alias("rest")).where(F.col("text").rlike(tb.SOLID.pattern))
     rows = rows.select("source", "id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), *(("rest", sized("text").alias("e")) if texts else (encoded("text").alias("e"),)))

@@ -17,6 +17,7 @@ packed; rows without an id come last, by that hash. Columns that are not used ar
 """
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,35 +66,45 @@ def best_cuts(sizes: list[int], penalties: list[int], window: int) -> tuple[list
     return cuts[::-1], cost[n]
 
 
+def _slice_units(texts: pa.Array, data: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, counts = tk.encode(texts, path)
+    size = tk.sizes(path)[ids]
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(size)])
+    byte_end = total[1:] + np.repeat(offs[:-1] - total[edge[:-1]] - 1, counts)
+    for d in np.flatnonzero(total[edge[1:]] - total[edge[:-1]] - 1 != np.diff(offs)).tolist():
+        byte_end[edge[d] : edge[d + 1]] = offs[d] + tk.token_ends(ids[edge[d] : edge[d + 1]], data[offs[d] : offs[d + 1]].tobytes(), path)
+    space, final = _SPACE[data], _FINAL[data]
+    soft = space | final
+    turn = np.flatnonzero(np.diff(soft.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    inner = np.unique(offs[(offs > 0) & (offs < len(data))])
+    inner = inner[soft[inner - 1] & soft[inner]]  # what a text begins with doesn't go on from the text before it
+    begin, end = np.sort(np.append(turn[::2], inner)), np.sort(np.append(turn[1::2], inner))
+    spaces, finals = np.cumsum(space, dtype=np.int32), np.cumsum(final, dtype=np.int32)
+    last = end - 1
+    end = end[(spaces[last] - spaces[begin] + space[begin] > 0) & (finals[last] - finals[begin] + final[begin] > 0)]
+    end = end - (data[end - 1] == 32)  # a space is the first byte of the word after it
+    cuts = np.unique(np.concatenate([np.searchsorted(byte_end, end, "right"), edge[1:]]))
+    cuts = cuts[cuts > 0]
+    own = np.searchsorted(edge, cuts, "left") - 1
+    sentences = np.diff(cuts, prepend=0) + (cuts == edge[own + 1])
+    each = np.bincount(own, minlength=len(counts))
+    bare = np.flatnonzero(each == 0)  # a text without tokens is its end token
+    sentences = np.insert(sentences, (np.cumsum(each) - each)[bare], 1)
+    each[bare] = 1
+    return ids, counts, sentences, each
+
+
+def unit_slices(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``units`` gives, for a bounded number of bytes of texts after another (a longer text alone)."""
+    for row, data, offs in tb.slices(texts):
+        yield _slice_units(texts[row : row + len(offs) - 1], data, offs, path)
+
+
 def units(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of all texts, number of each text, sizes of all sentences, number of each text); the last sentence of a text counts its end token."""
-    out: list[list] = [[], [], [], []]
-    for row, data, offs in tb.slices(texts, 1 << 22):
-        ids, counts = tk.encode(texts[row : row + len(offs) - 1], path)
-        size = tk.sizes(path)[ids]
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        total = np.concatenate([[0], np.cumsum(size)])
-        byte_end = total[1:] + np.repeat(offs[:-1] - total[edge[:-1]] - 1, counts)
-        for d in np.flatnonzero(total[edge[1:]] - total[edge[:-1]] - 1 != np.diff(offs)).tolist():
-            byte_end[edge[d] : edge[d + 1]] = offs[d] + tk.token_ends(ids[edge[d] : edge[d + 1]], data[offs[d] : offs[d + 1]].tobytes(), path)
-        space, final = _SPACE[data], _FINAL[data]
-        soft = space | final
-        turn = np.flatnonzero(np.diff(soft.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        begin, end = turn[::2], turn[1::2]
-        spaces, finals = np.concatenate([[0], np.cumsum(space)]), np.concatenate([[0], np.cumsum(final)])
-        end = end[(spaces[end] > spaces[begin]) & (finals[end] > finals[begin])]
-        end = end - (data[end - 1] == 32)  # a space is the first byte of the word after it
-        cuts = np.unique(np.concatenate([np.searchsorted(byte_end, end, "right"), edge[1:]]))
-        cuts = cuts[cuts > 0]
-        own = np.searchsorted(edge, cuts, "left") - 1
-        sentences = np.diff(cuts, prepend=0) + (cuts == edge[own + 1])
-        each = np.bincount(own, minlength=len(counts))
-        bare = np.flatnonzero(each == 0)  # a text without tokens is its end token
-        sentences = np.insert(sentences, (np.cumsum(each) - each)[bare], 1)
-        each[bare] = 1
-        for part, x in zip(out, (ids, counts, sentences, each)):
-            part.append(x)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    parts = list(unit_slices(texts, path))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64),) * 4
 
 
 def pack_units(ids: list, parts: list[np.ndarray], sentences: list[np.ndarray], window: int = WINDOW, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY) -> dict:
@@ -138,14 +149,19 @@ def pack_run(ids: list, texts: list, window: int = WINDOW, cut: int = CUT_PENALT
     return pack_units([ids[k] for k in kept], cut_up(flat, counts), cut_up(sentences, each), window, cut, split)
 
 
+def encoded_texts(texts: pa.Array, path: str) -> pa.Array:
+    """(n, ids, sentences) of each text, compressed a slice at a time: a task never holds the tokens of a whole batch."""
+    width, names = tk.width(path), ["n", "ids", "sentences"]
+    return runs.joined((pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(flat.astype(width), counts), runs.packed(sentences.astype("<i4"), each)], names) for flat, counts, sentences, each in unit_slices(texts, path)), names)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN, cut: int = CUT_PENALTY, split: int = SPLIT_PENALTY, path: str = tk.VOCABULARY) -> DataFrame:
     """Windows of ``docs``: (run, window, doc_ids, n_tokens, padding, cut, tokens)."""
     width = tk.width(path)
 
     @F.arrow_udf("struct<n: bigint, ids: binary, sentences: binary>")
     def encoded(texts: pa.Array) -> pa.Array:
-        flat, counts, sentences, each = units(texts, path)
-        return pa.StructArray.from_arrays([pa.array(counts + 1), runs.packed(flat.astype(width), counts), runs.packed(sentences.astype("<i4"), each)], ["n", "ids", "sentences"])
+        return encoded_texts(texts, path)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(tb.SOLID.pattern))
     rows = rows.select("id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("u"), encoded("text").alias("e")).select("id", "th", "u", "e.*")

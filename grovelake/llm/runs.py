@@ -7,6 +7,7 @@ makes every row different, so equal ids, null ids and repeated rows spread over
 """
 
 from bisect import bisect_right
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,9 @@ def unpacked(values: list[bytes], kind: str) -> list[np.ndarray]:
     """What ``packed`` was given, a value at a time."""
     expand = zstandard.ZstdDecompressor().decompress
     return [np.frombuffer(expand(x), kind) for x in values]
+
+
+def joined(parts: Iterable[pa.Array], names: list[str]) -> pa.Array:
+    """Structs of a count and binaries, one after another; without parts an empty array of them."""
+    found = list(parts)
+    return pa.concat_arrays(found) if found else pa.array([], pa.struct([(x, pa.binary() if k else pa.int64()) for k, x in enumerate(names)]))

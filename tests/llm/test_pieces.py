@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -291,3 +292,24 @@ def test_quality_logits_match_plain_sums():
         pairs = [tb.mix(np.array([quality.SAME if a == b else a * np.uint64(31) + b]))[0] for a, b in zip(h, h[1:])]
         words = sum(float(model.words[top(x)]) for x in [*h, *pairs, h[-1]]) / (2 * len(h) + quality.PRIOR)
         assert abs(z[0] - (words + chars + model.bias)) < 1e-4 and n[0] == 2 * len(h)
+
+
+@pytest.mark.parametrize("encoded", [packing.encoded_texts, mixing.sized_texts])
+def test_tokens_of_a_batch_are_held_a_slice_at_a_time(encoded):
+    texts = ["", " ", *(f"Text {k}. It has some words! " + "more of them, and more. " * (k % 97) for k in range(8000))]
+    batch, peaks = pa.array(texts), {}
+    encoded(batch, tk.VOCABULARY)  # the tables that a process keeps
+    for n in (1000, len(texts)):
+        tracemalloc.start()
+        found = encoded(batch[:n], tk.VOCABULARY)
+        peaks[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert batch.nbytes > 8 << 20 and peaks[len(texts)] < 40 << 20 and peaks[len(texts)] < 1.6 * peaks[1000], peaks
+    assert found[:300].to_pylist() == [encoded(pa.array([x]), tk.VOCABULARY)[0].as_py() for x in texts[:300]] and len(encoded(pa.array([], pa.string()), tk.VOCABULARY)) == 0
+
+
+def test_sentences_do_not_depend_on_the_text_before():
+    texts = ["One ends here.", "   \t two begins with space", "x. ", "\t. ", "", " three", "four.\n", "  \n", "!", " . five"]
+    alone = [packing.units(pa.array([x]), tk.VOCABULARY) for x in texts]
+    for k, found in enumerate(packing.units(pa.array(texts), tk.VOCABULARY)):
+        assert found.tolist() == np.concatenate([x[k] for x in alone]).tolist()
