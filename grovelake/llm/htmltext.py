@@ -10,7 +10,9 @@ The template's hashes reach the second pass as one sorted array, broadcast, wher
 ``broadcast_bytes``; beyond that each page's own hashes are joined with them. Both ways give the same rows.
 
 Defined results: null html gives null text, html without text an empty one. Pages without a host (null or
-relative url) are one host. Repeated rows each get their own result. Quoted attributes may hold ``>``. Unclosed
+relative url) are one host. Repeated rows each get their own result. Quoted attributes may hold ``>``. A
+tag runs to the next ``>`` out of quotes, a ``<`` in it is a part of its attributes; what begins like a tag that no
+such ``>`` ends is text to the end of the page. Unclosed
 elements end with their parent, a ``p``, ``li``, ``tr``, ``td``, ``th``, ``dt``, ``dd`` or ``option`` also where the next one
 begins; a ``head`` also where its first text or element of the body begins, a ``select`` at the next block or ``select``.
 An ``svg``, ``iframe``, ``noscript`` or ``select`` that no end tag follows hides nothing. End tags of what is not open
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PAGES, MIN_CHARS, BROADCAST_BYTES = 5, 16, 64 << 20
-_IN_TAG = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+>"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template)\b{_IN_TAG}.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_IN_TAG}", re.S | re.I)
+_IN_TAG = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template)\b{_IN_TAG}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_IN_TAG}(>|\Z)", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 SKIPPED = frozenset(["head", "noscript", "svg", "iframe", "select"])
@@ -87,6 +89,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
                 return
 
     for token in TOKEN.finditer(page):
+        if token.group(4) == "":  # no > follows: the rest is text, and isn't searched again
+            break
         if here.tag == "head" and token.start() > at and not page[at : token.start()].isspace():
             close()
         if token.start() > at and not hidden:

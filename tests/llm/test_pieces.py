@@ -313,3 +313,11 @@ def test_sentences_do_not_depend_on_the_text_before():
     alone = [packing.units(pa.array([x]), tk.VOCABULARY) for x in texts]
     for k, found in enumerate(packing.units(pa.array(texts), tk.VOCABULARY)):
         assert found.tolist() == np.concatenate([x[k] for x in alone]).tolist()
+
+
+def test_html_less_than_in_tags():
+    text = lambda page: htmltext.without(page, lambda h: np.zeros(len(h), bool))[0]
+    assert text("<p a<b>one</p <i>>two") == "one\n>two" and text('<a href="x" <b>y</a>z') == "yz" and text("<script <b>x</script>y") == "y"
+    assert text("<p>1 < 2 <3 a</p>b <c") == "1 < 2 <3 a\nb <c" and text('<p>a</p><b x="<i>"') == 'a\n<b x="<i>"'
+    for odd in ("<a '\" ", "<a ", "<script ", '<a x=">" '):
+        assert text("<p>y</p>" + odd * 20_000).startswith("y\n" + odd.strip())
