@@ -18,10 +18,11 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """1 - cos, 1 where a norm is 0."""
+    """1 - cos, 1 where a norm is 0; null of an element that is null, NaN where it isn't defined."""
     norm = _sum(a, a, lambda x, y: x * y) * _sum(b, b, lambda x, y: x * y)
     cos = _sum(a, b, lambda x, y: x * y) / F.sqrt(norm)
-    return F.when(norm > 0, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).otherwise(F.when(F.size(a) == F.size(b), F.lit(1.0)))
+    held = F.when(F.isnan(cos), cos).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))  # least and greatest pass over null
+    return F.when(F.size(a) == F.size(b), F.when(norm > 0, 1 - held).when(norm == 0, F.lit(1.0)))
 
 
 METRICS = {"l2": l2, "cosine": cosine, "inner_product": inner_product}

@@ -8,7 +8,10 @@ from pyspark.sql import Window as W
 
 from ..functions.distance import METRICS
 from ..tables import written
+from .nearest import nearest, packed, slabs_and_tasks
 
+FEW = 100  #: queries that are joined to all vectors
+BLOCKED = ("cosine",)  #: metrics that ``nearest`` has
 Metric = str | Callable[[Column, Column], Column]
 
 
@@ -25,9 +28,19 @@ def checked(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric = "cosine") -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest of each (qid, query); ties by id, NaN last. Each task keeps its k best."""
-    pairs = vectors.select("id", "vector").crossJoin(queries.select("qid", "query"))
-    scored = pairs.select("qid", "id", _metric(metric)(F.col("query"), F.col("vector")).alias("distance")).where("distance IS NOT NULL")
+    """(qid, id, distance, rank) of the k nearest of each (qid, query); ties by id, NaN last. Each task keeps its k best.
+
+    More than ``FEW`` queries under a metric of the library are compared by blocks.
+    """
+    asked = queries.limit(FEW + 1).count() if metric in BLOCKED and k > 0 else 0
+    if asked <= FEW:
+        pairs = vectors.select("id", "vector").crossJoin(queries.select("qid", "query"))
+        scored = pairs.select("qid", "id", _metric(metric)(F.col("query"), F.col("vector")).alias("distance")).where("distance IS NOT NULL")
+    else:
+        n, dim = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
+        slabs, tasks = slabs_and_tasks(n, queries.count(), dim or 0)
+        blocks = packed(vectors.select("id", "vector").repartition(slabs, "id"), k).coalesce(slabs)
+        scored = nearest(queries, blocks, vectors.schema["vector"].dataType, k, metric, tasks)
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 

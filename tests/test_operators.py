@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from grovelake.functions import distance
 from grovelake.model import TreeConfig, validated
-from grovelake.operators import blobs, diff, kv, merge, merkle, text, vector
+from grovelake.operators import blobs, diff, kv, merge, merkle, nearest, text, vector
 from grovelake.sources import encoding
 
 TINY = TreeConfig(min_chunk=2, max_chunk=16, pattern=0b11)
@@ -240,3 +240,20 @@ def test_encodings(spark, tmp_path):
     encoding.to_arrow_ipc(rows, f"file://{tmp_path}/arrow")
     assert list((tmp_path / "arrow").glob("*.arrow"))
     assert encoding.formatted(rows, "csv") == "name,age,active,balance\na,1,True,0.5\n"
+
+
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_blocks_give_what_pairs_give(spark, metric, monkeypatch):
+    """Copies, zero vectors, other lengths, null, NaN, infinite and very large elements; several blocks and slabs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 6)).round(1).tolist() + [[0.0] * 6] * 150 + [[1.0, 2.0]] * 30 + [None, [], [None] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0]]
+    x += [[float("nan")] * 6, [float("inf"), 0, 0, 0, 0, 0.0], [1e200] * 6, [1e-200] * 6, [1e30, 1.0, 0, 0, 0, 0]]
+    ids = rng.permutation(len(x)).tolist()
+    rows = spark.createDataFrame([(i, v and [e if e is None else float(e) for e in v]) for i, v in zip(ids, x)], "id BIGINT, vector ARRAY<DOUBLE>")
+    asked = rows.select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    run = lambda: sorted((r.qid, r.rank, r.id, str(r.distance)) for r in vector.exact_knn(asked, rows, 7, metric).collect())
+    monkeypatch.setattr(nearest, "BLOCK", 90)
+    monkeypatch.setattr(nearest, "SLAB_BYTES", 20_000)
+    got = run()
+    monkeypatch.setattr(vector, "FEW", 10**6)
+    assert got == run()
