@@ -242,7 +242,7 @@ def test_encodings(spark, tmp_path):
     assert encoding.formatted(rows, "csv") == "name,age,active,balance\na,1,True,0.5\n"
 
 
-@pytest.mark.parametrize("metric", ["cosine"])
+@pytest.mark.parametrize("metric", ["cosine", "inner_product"])
 def test_blocks_give_what_pairs_give(spark, metric, monkeypatch):
     """Copies, zero vectors, other lengths, null, NaN, infinite and very large elements; several blocks and slabs."""
     rng = np.random.default_rng(5)
