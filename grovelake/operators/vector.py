@@ -11,7 +11,7 @@ from ..tables import written
 from .nearest import nearest, packed, slabs_and_tasks
 
 FEW = 100  #: queries that are joined to all vectors
-BLOCKED = ("cosine", "inner_product")  #: metrics that ``nearest`` has
+BLOCKED = ("l2", "cosine", "inner_product")  #: metrics that ``nearest`` has
 Metric = str | Callable[[Column, Column], Column]
 
 

@@ -242,7 +242,7 @@ def test_encodings(spark, tmp_path):
     assert encoding.formatted(rows, "csv") == "name,age,active,balance\na,1,True,0.5\n"
 
 
-@pytest.mark.parametrize("metric", ["cosine", "inner_product"])
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
 def test_blocks_give_what_pairs_give(spark, metric, monkeypatch):
     """Copies, zero vectors, other lengths, null, NaN, infinite and very large elements; several blocks and slabs."""
     rng = np.random.default_rng(5)
@@ -257,3 +257,12 @@ def test_blocks_give_what_pairs_give(spark, metric, monkeypatch):
     got = run()
     monkeypatch.setattr(vector, "FEW", 10**6)
     assert got == run()
+
+
+def test_batch_search_lists_no_pairs(spark):
+    """20 000 queries over 20 000 vectors: no plan lists their 400 000 000 pairs."""
+    _, v = vectors(spark, 20_000, 8)
+    found = vector.exact_knn(v.select(F.col("id").alias("qid"), F.col("vector").alias("query")), v, 3, "l2")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "zip_with" not in text
+    assert found.where("rank = 1 AND qid = id AND distance = 0").count() == 20_000
