@@ -174,6 +174,14 @@ def test_one_task_makes_the_nodes_that_ranges_make(spark, monkeypatch, config):
     assert wrote == ["nodes"]  # not two tables a level
 
 
+def test_statistics_of_many_small_chunks(spark, monkeypatch):
+    """Levels are many where chunks are small: they are made in one go, whatever their number."""
+    wrote = []
+    monkeypatch.setattr(merkle, "written", lambda df, name, w=merkle.written: wrote.append(name) or w(df, name))
+    r = merkle.stats(merkle.node_table(entries(spark, range(20_000)), TINY)).first()
+    assert r.pairs == 20_000 and r.depth > 4 and r.nodes == r.leaves + r.inner and len(wrote) == 1
+
+
 def test_proofs(spark):
     rows = entries(spark, range(100))
     nodes = merkle.node_table(rows, TINY)
