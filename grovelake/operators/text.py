@@ -1,5 +1,6 @@
 """Text search: chunkers, embedders, an index as a table of chunk vectors, cascades from values and audits."""
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -7,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from .nearest import BLOCK, nearest, packed
 from .vector import exact_knn
 
 
@@ -31,18 +34,19 @@ class Embedder:
 
 
 def hash_embedder(dim: int = 32, seed: int = 0) -> Embedder:
-    """Element i is the first byte, signed, over 128, of SHA-256(seed, i, text); the vector is normalised. JVM only."""
-    head = seed.to_bytes(8, "little").hex().upper()
+    """Element i is the first byte, signed, over 128, of SHA-256(seed, i, text); the vector is normalised. Over Arrow batches, a text once in each."""
+    heads = [seed.to_bytes(8, "little") + i.to_bytes(4, "little") for i in range(dim)]
 
-    def embed(text: Column) -> Column:
-        def element(i: Column) -> Column:
-            n = F.reverse(F.unhex(F.lpad(F.hex(i.cast("bigint")), 8, "0")))
-            byte = F.conv(F.substring(F.sha2(F.concat(F.unhex(F.lit(head)), n, text.cast("binary")), 256), 1, 2), 16, 10).cast("int")
-            return F.when(byte > 127, byte - 256).otherwise(byte).cast("double") / 128
-
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), element)
-        pair = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)).alias("norm")))
-        return F.transform(pair, lambda p: F.transform(p["v"], lambda x: F.when(p["norm"] > 0, x / p["norm"]).otherwise(x)))[0].cast("array<float>")
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        said = coded.dictionary.cast(pa.binary()).to_pylist()
+        first = bytes(hashlib.sha256(head + t).digest()[0] for t in said for head in heads)
+        raw = np.frombuffer(first, np.int8).reshape(len(said), dim) / 128.0
+        norm = np.sqrt((raw * raw).sum(1, keepdims=True))  # of multiples of 2^-14: exact in any order
+        flat = pa.array((raw / np.where(norm > 0, norm, 1)).astype(np.float32).ravel())
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(said) + 1) * dim, pa.int32()), flat)
+        return made.take(coded.indices)
 
     return Embedder("hash", f"1:{seed}", dim, embed)
 
@@ -85,12 +89,9 @@ def drop_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int, embedder: Embedder, metric: str = "cosine") -> DataFrame:
     """(qid, doc_id, score, rank) of each (qid, text): a document counts by its nearest chunk; ties by doc_id."""
     asked = queries.select("qid", embedder.embed(F.col("text")).alias("query"))
-    pairs = index.crossJoin(asked)
-    from ..functions.distance import METRICS
-
-    best = pairs.groupBy("qid", "doc_id").agg(F.min(METRICS[metric](F.col("query"), F.col("vector"))).alias("score"))
-    from pyspark.sql import Window as W
-
+    blocks = packed(index.select(F.col("doc_id").alias("id"), "vector"), k)
+    found = nearest(asked, blocks, index.schema["vector"].dataType, k, metric, -(-max(1, queries.count()) // BLOCK))
+    best = found.groupBy("qid", F.col("id").alias("doc_id")).agg(F.min("distance").alias("score"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("score", "doc_id"))).where(F.col("rank") <= k)
 
 

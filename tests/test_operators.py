@@ -285,3 +285,26 @@ def test_batch_search_lists_no_pairs(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "zip_with" not in text
     assert found.where("rank = 1 AND qid = id AND distance = 0").count() == 20_000
+
+
+def test_text_search_over_blocks(spark, monkeypatch):
+    """Documents that share lines tie by doc_id; a document counts once, by its nearest line; no plan lists pairs of lines and queries."""
+    import hashlib
+
+    def plain(t):
+        v = np.array([int.from_bytes(hashlib.sha256(bytes(8) + i.to_bytes(4, "little") + t.encode()).digest()[:1], "big", signed=True) / 128 for i in range(16)])
+        return (v / np.sqrt((v * v).sum())).astype(np.float32).astype(float)
+
+    rng, e = random.Random(2), text.hash_embedder(16)
+    said = [f"line {i}" for i in range(60)]
+    docs = {d: [rng.choice(said[: 5 + d % 50]) for _ in range(rng.randrange(1, 9))] for d in range(400)}
+    asked = [f"line {i}" for i in range(0, 60, 7)] + ["elsewhere", "é"]
+    monkeypatch.setattr(nearest, "BLOCK", 100)
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id BIGINT, text STRING").repartition(3)
+    found = text.search(text.embedded(rows, e), spark.createDataFrame([*enumerate(asked), (99, None)], "qid INT, text STRING"), 6, e)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    vecs = {t: plain(t) for t in said + asked}
+    far = lambda a, b: round(1 - min(1.0, vecs[a] @ vecs[b] / np.linalg.norm(vecs[a]) / np.linalg.norm(vecs[b])), 9)
+    want = {(q, d, r + 1) for q, t in enumerate(asked) for r, (_, d) in enumerate(sorted((min(far(t, x) for x in lines), d) for d, lines in docs.items())[:6])}
+    assert {(r.qid, r.doc_id, r.rank) for r in found.collect()} == want
+    assert "zip_with" not in plan and "sha2" not in plan
