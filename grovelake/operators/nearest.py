@@ -276,3 +276,37 @@ def slabs_and_tasks(n: int, asked: int, dim: int) -> tuple[int, int]:
     """How many slabs n vectors make, and by how many tasks each is read for so many queries."""
     slabs = max(1, -(-n * (4 * dim + 24) // SLAB_BYTES))
     return slabs, max(1, min(-(-asked // 512), -(-LEAST_TASKS // slabs)))
+
+
+def distances(metric: str):
+    """The distance of ``functions.distance`` as a function of two columns, over Arrow batches of pairs."""
+
+    def rows(x: pa.Array, at: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        flat = x.take(pa.array(at)).flatten()
+        null = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+        return flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim), null.any(1)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return np.add.reduce(np.ascontiguousarray(x.T), axis=0) if x.shape[1] else np.zeros(len(x))
+
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        size, other = (x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (a, b))
+        out, there = np.zeros(len(size)), np.zeros(len(size), bool)
+        with np.errstate(all="ignore"):
+            for dim in np.unique(size[(size == other) & (size >= 0)]).tolist():
+                at = np.flatnonzero((size == dim) & (other == dim))
+                for lo in range(0, len(at), BLOCK):
+                    some = at[lo : lo + BLOCK]
+                    (x, xnull), (y, ynull) = (rows(z, some, dim) for z in (a, b))
+                    if metric == "l2":
+                        d = np.sqrt(summed((x - y) ** 2))
+                    elif metric == "inner_product":
+                        d = -summed(x * y)
+                    else:
+                        norm = summed(x * x) * summed(y * y)
+                        d = np.where(norm == 0, 1.0, 1 - np.clip(summed(x * y) / np.sqrt(norm), -1, 1))
+                    out[some], there[some] = d, ~(xnull | ynull)
+        return pa.array(out, mask=~there)
+
+    return distance

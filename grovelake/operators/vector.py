@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.distance import METRICS
 from ..tables import written
-from .nearest import nearest, packed, slabs_and_tasks
+from .nearest import distances, nearest, packed, slabs_and_tasks
 
 FEW = 100  #: queries that are joined to all vectors
 BLOCKED = ("l2", "cosine", "inner_product")  #: metrics that ``nearest`` has
@@ -19,6 +19,11 @@ def _metric(metric: Metric):
     return METRICS[metric] if isinstance(metric, str) else metric
 
 
+def _of_pairs(metric: Metric):
+    """As ``_metric``; those of the library over Arrow batches."""
+    return distances(metric) if metric in BLOCKED else _metric(metric)
+
+
 def checked(vectors: DataFrame, dim: int) -> DataFrame:
     """(id, vector); the query fails at a vector of another length. A dimension of 0 is refused."""
     if dim < 1:
@@ -58,7 +63,7 @@ def build_tree(vectors: DataFrame, metric: Metric = "cosine", level_bits: int =
     At each level the entries that reach it are boundaries; every entry of a bucket goes to the nearest one
     (ties: the smaller id), by a join on the bucket. A bucket without boundary stays as it is.
     """
-    dist = _metric(metric)
+    dist = _of_pairs(metric)
     rows = written(vectors.select("id", "vector", level(F.col("id"), F.col("vector"), level_bits).alias("level"), F.lit("").alias("bucket")), "levels")
     top = rows.agg(F.max("level")).first()[0] or 0
     inner = None
@@ -80,7 +85,7 @@ def build_tree(vectors: DataFrame, metric: Metric = "cosine", level_bits: int =
 def ann_knn(queries: DataFrame, tree: tuple[DataFrame, DataFrame, int], k: int, ef: int = 64, metric: Metric = "cosine") -> DataFrame:
     """As ``exact_knn``, over a beam of the ef nearest boundaries of each level; leaves are scored exactly."""
     inner, leaves, top = tree
-    dist, ef = _metric(metric), max(ef, k, 1)
+    dist, ef = _of_pairs(metric), max(ef, k, 1)
     front = queries.select("qid", "query", F.lit("").alias("bucket"))
     for at in range(top, 0, -1):
         seen = front.join(inner.where(F.col("level") == at).drop("level"), "bucket")

@@ -308,3 +308,16 @@ def test_text_search_over_blocks(spark, monkeypatch):
     want = {(q, d, r + 1) for q, t in enumerate(asked) for r, (_, d) in enumerate(sorted((min(far(t, x) for x in lines), d) for d, lines in docs.items())[:6])}
     assert {(r.qid, r.doc_id, r.rank) for r in found.collect()} == want
     assert "zip_with" not in plan and "sha2" not in plan
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_distances_of_batches(spark, metric):
+    """Pairs have the same distance over Arrow batches, bit by bit; the level tree takes them."""
+    rng = np.random.default_rng(4)
+    x = [v.tolist() for v in rng.normal(size=(40, 5))] + [[0.0] * 5, [1.0], [], None, [None] * 5, [float("nan")] * 5, [float("inf")] + [0.0] * 4, [1e200] * 5]
+    rows = spark.createDataFrame([(v,) for v in x], "a ARRAY<DOUBLE>")
+    pairs = rows.crossJoin(rows.withColumnRenamed("a", "b")).withColumn("slow", distance.METRICS[metric](F.col("a"), F.col("b"))).withColumn("fast", nearest.distances(metric)(F.col("a"), F.col("b")))
+    assert pairs.count() == len(x) ** 2 and pairs.where("NOT slow <=> fast").count() == 0
+    _, v = vectors(spark, 50, 4)
+    found = vector.ann_knn(v.select(F.col("id").alias("qid"), F.col("vector").alias("query")), vector.build_tree(v, metric), 3, metric=metric)
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
