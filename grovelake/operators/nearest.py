@@ -112,7 +112,7 @@ class _Side:
     """A block: doubles by element, norms, those in single precision that products are of, and which rows they don't serve."""
 
     def __init__(self, dim: int, data: bytes, nulls: bytes, dtype: str, metric: str, query: bool) -> None:
-        self.null = np.frombuffer(nulls, bool)
+        self.null = np.frombuffer(nulls, bool).copy()  # what is kept must not hold the batch
         x = np.frombuffer(data, dtype).reshape(len(self.null), dim).astype(float)
         self.x = np.ascontiguousarray(x.T)
         with np.errstate(all="ignore"):
@@ -162,14 +162,20 @@ class _Best:
         self.pending = 0
         self.kth, self.kth_key = np.full(q.n, np.inf), np.zeros(q.n, np.int64)
         self.full = np.zeros(q.n, bool)
+        self.last_key, self.ordered, self.repeated = -1, True, False  # of the keys so far
 
     def settle(self) -> None:
         """What is pending goes among the nearest; a key counts once, with its nearest."""
         qi, d, key, at = (np.concatenate(x) for x in zip(self.held, *self.new))
-        order = np.lexsort((at, d, key, qi))
-        first = np.r_[True, (qi[order][1:] != qi[order][:-1]) | (key[order][1:] != key[order][:-1])][: len(order)]
-        order = order[first]
-        order = order[np.lexsort((key[order], d[order], qi[order]))]
+        if self.repeated:
+            order = np.lexsort((at, d, key, qi))
+            order = order[np.r_[True, (qi[order][1:] != qi[order][:-1]) | (key[order][1:] != key[order][:-1])][: len(order)]]
+            order = order[np.lexsort((key[order], d[order], qi[order]))]
+        elif self.ordered and self.q.n < 1 << 16:  # of one query and distance, keys already ascend
+            order = np.argsort(d, kind="stable")
+            order = order[np.argsort(qi[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.lexsort((key, d, qi))
         qi = qi[order]
         starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]][: len(qi)])
         rank = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
@@ -197,6 +203,10 @@ class _Best:
     def add(self, v: _Side, keys: np.ndarray, offset: int) -> None:
         lo, odd, strangers = 0, np.flatnonzero(v.odd), self.q.null.any() or v.null.any()
         floor = self.floors(v, int(keys[0]))
+        self.ordered &= bool(keys[0] > self.last_key)
+        self.repeated |= bool((keys[1:] == keys[:-1]).any()) or int(keys[0]) == self.last_key
+        self.repeated |= not self.ordered  # a key may be in two blocks
+        self.last_key = int(keys[-1])
         while lo < v.n:
             hi = min(v.n, lo + min(AT_ONCE, max(64, self.seen)))
             strange = odd[(odd >= lo) & (odd < hi)] - lo
@@ -224,6 +234,11 @@ class _Best:
                 floor = self.floors(v, int(keys[0]))
 
 
+def _own(x: pa.Array) -> pa.Array:
+    """A copy that does not hold the batch."""
+    return x.take(pa.array(np.arange(len(x))))
+
+
 def _searched(metric: str, k: int, types: tuple[str, str], schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -251,11 +266,12 @@ def _searched(metric: str, k: int, types: tuple[str, str], schema: T.StructType)
                 if here != now:
                     yield from flushed(best, qids, ids)
                     q = _Side(qdims[i], batch["qdata"][i].as_buffer(), batch["qnulls"][i].as_buffer(), types[0], metric, True)
-                    best, now, qids, ids, offset = _Best(q, k, metric), here, pa.concat_arrays([batch["qids"][i].values]), [], 0
+                    best, now, qids, ids, offset = _Best(q, k, metric), here, _own(batch["qids"][i].values), [], 0
                 v = _Side(dims[i], batch["data"][i].as_buffer(), batch["nulls"][i].as_buffer(), types[1], metric, False)
                 best.add(v, np.frombuffer(batch["keys"][i].as_buffer(), np.int64), offset)
-                ids.append(pa.concat_arrays([batch["ids"][i].values]))
+                ids.append(_own(batch["ids"][i].values))
                 offset += v.n
+            del batch
         yield from flushed(best, qids, ids)
 
     return run
